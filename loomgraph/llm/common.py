@@ -7,15 +7,19 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.session import ship
+
 #: Bytes of text that the vectorised kernels take at a time, so that a batch of long documents
 #: never holds more than a few arrays of this length.
 CHUNK_BYTES = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,7 +58,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterat
         if not n:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         start = size = 0
         for i, k in enumerate(lengths.tolist()):
             if size and size + k > CHUNK_BYTES:

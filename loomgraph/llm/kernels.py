@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _LIMIT = 1 << 22
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -52,7 +53,7 @@ class Texts:
     def of(cls, column: pa.Array) -> Texts:
         """Null texts count as empty."""
         if column.null_count:
-            column = pa.compute.fill_null(column, "")
+            column = pc.fill_null(column, "")
         if pa.types.is_large_string(column.type):
             kind = np.int64
         else:
@@ -98,23 +99,28 @@ def runs(texts: Texts, inside: np.ndarray) -> Words:
     return Words(start, end, doc)
 
 
+def split_long(texts: Texts, w: Words, long: int) -> tuple[Words, np.ndarray]:
+    """w with one run for each character of those over long bytes; whether each run is followed by another of the same word."""
+    if not len(w.start) or (w.end - w.start).max() <= long:
+        return w, np.zeros(len(w.start), dtype=bool)
+    wide = np.flatnonzero(w.end - w.start > long)
+    mark = np.zeros(len(texts.data) + 1, dtype=np.int8)
+    np.add.at(mark, w.start[wide], 1)
+    np.add.at(mark, w.end[wide], -1)
+    head = (np.cumsum(mark[:-1]) > 0) & ((texts.data & 0xC0) != 0x80)  # first bytes of characters
+    head[w.start[wide]] = True
+    keep = np.ones(len(w.start), dtype=bool)
+    keep[wide] = False
+    start = np.sort(np.concatenate((w.start[keep], np.flatnonzero(head))))
+    stop = w.end[np.searchsorted(w.start, start, side="right") - 1]
+    end = np.minimum(np.append(start[1:], len(texts.data)), stop)
+    return Words(start, end, np.searchsorted(texts.offsets, start, side="right") - 1), end < stop
+
+
 def words(texts: Texts, long: int = 0) -> Words:
     """White-space separated words. With long, a longer word becomes one run for each of its characters."""
     w = runs(texts, ~_SPACE[texts.data])
-    if long and len(w.start) and (w.end - w.start).max() > long:
-        wide = np.flatnonzero(w.end - w.start > long)
-        mark = np.zeros(len(texts.data) + 1, dtype=np.int8)
-        np.add.at(mark, w.start[wide], 1)
-        np.add.at(mark, w.end[wide], -1)
-        head = (np.cumsum(mark[:-1]) > 0) & ((texts.data & 0xC0) != 0x80)  # first bytes of characters
-        first = np.flatnonzero(head)
-        keep = np.ones(len(w.start), dtype=bool)
-        keep[wide] = False
-        start = np.sort(np.concatenate((w.start[keep], first)))
-        bound = np.concatenate((start[1:], [len(texts.data)]))
-        stop = w.end[np.searchsorted(w.start, start, side="right") - 1]
-        return Words(start, np.minimum(bound, stop), np.searchsorted(texts.offsets, start, side="right") - 1)
-    return w
+    return split_long(texts, w, long)[0] if long else w
 
 
 def hashes(data: np.ndarray, w: Words) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_token_counts, op3_sharding, op6_chat_format, op7_sentencepiece, op9_exact_dedup
+from . import op1_token_counts, op3_sharding, op5_simhash, op6_chat_format, op7_sentencepiece, op8_quality_rules, op9_exact_dedup
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op5_simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_chat_format.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -26,6 +30,10 @@ def op7_sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_sentencepiece.encode(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_exact_dedup.kept_documents(table(spark, sf_dir, "documents"))
 
@@ -34,8 +42,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts_query,
         "op3_sharding": op3_sharding_query,
+        "op5_simhash": op5_simhash_query,
         "op6_chat_format": op6_chat_format_query,
         "op7_sentencepiece": op7_sentencepiece_query,
+        "op8_quality_rules": op8_quality_rules_query,
         "op9_exact_dedup": op9_exact_dedup_query,
     }
 
@@ -43,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_sharding": op3_sharding.oracle(),
+        "op5_simhash": op5_simhash_query,
         "op6_chat_format": op6_chat_format.ORACLE,
         "op9_exact_dedup": op9_exact_dedup.ORACLE,
     }
