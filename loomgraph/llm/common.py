@@ -16,6 +16,7 @@ from loomgraph.session import ship
 #: Bytes of text that the vectorised kernels take at a time, so that a batch of long documents
 #: never holds more than a few arrays of this length.
 CHUNK_BYTES = 1 << 21
+CHUNK_ROWS = 8192
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +62,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterat
         lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         start = size = 0
         for i, k in enumerate(lengths.tolist()):
-            if size and size + k > CHUNK_BYTES:
+            if size and size + k > CHUNK_BYTES or i - start == CHUNK_ROWS:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += k

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_token_counts, op3_sharding, op5_simhash, op6_chat_format, op7_sentencepiece, op8_quality_rules, op9_exact_dedup
+from . import (
+    op1_token_counts,
+    op2_secret_scan,
+    op3_sharding,
+    op4_mixing,
+    op5_simhash,
+    op6_chat_format,
+    op7_sentencepiece,
+    op8_quality_rules,
+    op9_exact_dedup,
+    op10_quality_classifier,
+)
 from .common import table
 
 
@@ -14,10 +25,18 @@ def op1_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op4_mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_mixing.copies(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_simhash.near_copies(table(spark, sf_dir, "documents"))
 
@@ -38,15 +57,22 @@ def op9_exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_exact_dedup.kept_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts_query,
+        "op2_secret_scan": op2_secret_scan_query,
         "op3_sharding": op3_sharding_query,
+        "op4_mixing": op4_mixing_query,
         "op5_simhash": op5_simhash_query,
         "op6_chat_format": op6_chat_format_query,
         "op7_sentencepiece": op7_sentencepiece_query,
         "op8_quality_rules": op8_quality_rules_query,
         "op9_exact_dedup": op9_exact_dedup_query,
+        "op10_quality_classifier": op10_quality_classifier_query,
     }
 
 
