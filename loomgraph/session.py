@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent.parent
 
@@ -25,3 +25,19 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(_ROOT))
     context.addPyFile(archive)
     sys.path[:] = [p for p in sys.path if not p.endswith("loomgraph.zip")]  # addPyFile put it before the sources
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors see; a folder of our own only where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="loomgraph-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and go on from there; loops stay cheap and survive lost executors."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
