@@ -79,7 +79,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_sharding": op3_sharding.oracle(),
-        "op5_simhash": op5_simhash_query,
         "op6_chat_format": op6_chat_format.ORACLE,
         "op9_exact_dedup": op9_exact_dedup.ORACLE,
     }
