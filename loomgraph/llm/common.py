@@ -47,6 +47,11 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def named(name: str) -> Column:
+    """The column of this very name, dots in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def digest_int(key: Column) -> Column:
     """A non-negative 60-bit integer from the MD5 of a string; the same in any SQL engine with md5()."""
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")

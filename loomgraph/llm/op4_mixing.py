@@ -21,15 +21,17 @@ often as they occur, and get the same number of copies each; rows of one doc_id
 rounded by the same hash. A source with a target but no tokens can't meet it and is left out of the
 shares. With given weights, a source that they lack, or of weight 0, gets no copies. An empty table
 gives an empty result. `copies` returns three columns whatever df has; `mix` returns the columns of
-df, and further columns have no effect.
+df in their order, and further columns have no effect, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest_int, store
+from .common import digest_int, named, store
 
 FLATTEN = 0.8
 TOLERANCE = 1e-9
@@ -96,17 +98,20 @@ def multipliers(cells: DataFrame, goal: dict, scale: float, tolerance: float = T
 
 def copies(df: DataFrame, weights: dict | None = None, total: float | None = None, flatten: float = FLATTEN, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, rate, copies) for each row of df."""
-    rated = _rated(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("x"), F.col(source_col).alias("s")), "id", "x", "s", weights, total, flatten)
-    return rated.select(F.col("id").alias("doc_id"), F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
+    rate, count = _rates(df, id_col, text_col, source_col, weights, total, flatten)
+    return df.select(F.col(id_col).alias("doc_id"), rate.alias("rate")).select("doc_id", "rate", count(F.col("doc_id"), F.col("rate")).alias("copies"))
 
 
 def mix(df: DataFrame, weights: dict | None = None, total: float | None = None, flatten: float = FLATTEN, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Each row of df as often as its copies say."""
-    rated = _rated(df, id_col, text_col, source_col, weights, total, flatten)
-    return rated.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).where("__copies > 0").select(*df.columns) if df.columns else df
+    rate, count = _rates(df, id_col, text_col, source_col, weights, total, flatten)
+    rows = df.select(F.struct(*map(named, df.columns)).alias("row"), rate.alias("rate"))  # in a struct no name can clash
+    counted = rows.select("row", count(F.col(f"row.`{id_col}`"), F.col("rate")).alias("n")).where("n > 0")
+    return counted.select("row", F.explode(F.sequence(F.lit(1), "n"))).select("row.*")
 
 
-def _rated(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: dict | None, total: float | None, flatten: float) -> DataFrame:
+def _rates(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: dict | None, total: float | None, flatten: float) -> tuple[Column, Callable[[Column, Column], Column]]:
+    """The rate as a column of df, and the function that gives the copies of (doc_id, rate)."""
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
     tokens = tokens_of(F.col(text_col))
     cells = store(df.select(source.alias("source"), tokens.alias("tokens")).where("tokens > 0").groupBy("source", "tokens").agg(F.count("*").alias("documents")))
@@ -119,6 +124,9 @@ def _rated(df: DataFrame, id_col: str, text_col: str, source_col: str, weights:
     pairs = [x for s, v in lam.items() for x in (F.lit(s), F.lit(float(v)))]
     tilt = F.create_map(*pairs)[source] if pairs else F.lit(None).cast("double")
     rate = F.when(tokens == 0, F.lit(1.0)).otherwise(F.coalesce(F.exp(tilt * tokens / F.lit(scale)), F.lit(0.0)))
-    part = digest_int(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % STEPS / F.lit(float(STEPS))
-    count = F.floor(F.col("__rate")) + F.when(part < F.col("__rate") - F.floor(F.col("__rate")), 1).otherwise(0)
-    return df.withColumn("__rate", rate).withColumn("__copies", count.cast("int"))
+
+    def count(doc_id: Column, rate: Column) -> Column:
+        part = digest_int(F.coalesce(doc_id.cast("string"), F.lit(""))) % STEPS / F.lit(float(STEPS))
+        return (F.floor(rate) + F.when(part < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+
+    return rate, count

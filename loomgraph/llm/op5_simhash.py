@@ -110,7 +110,7 @@ class Tree:
     def _build(self, own: np.ndarray) -> int:
         """Nodes are (points) or (vantage point, radius, inner node, outer node)."""
         if len(own) > self.leaf:
-            tries = self._rng.choice(own, size=4, replace=False)
+            tries = self._rng.choice(own, size=min(4, len(own)), replace=False)
             some = own if len(own) <= 512 else self._rng.choice(own, size=512, replace=False)
             spread = [np.bitwise_count(self.points[some] ^ self.points[v]).astype(np.int64).var() for v in tries]
             vantage = self.points[tries[int(np.argmax(spread))]]

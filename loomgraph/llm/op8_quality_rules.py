@@ -117,12 +117,11 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wor
 def keep_documents(df: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, long_word: int = LONG_WORD) -> DataFrame:
     """The rows of df that the rules keep, with all columns."""
     at = df.columns.index(text_col)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # whatever the names, dots in them included
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_chunks((x.rename_columns([f"c{i}" for i in range(x.num_columns)]) for x in batches), f"c{at}"):
+        for b in text_chunks(batches, f"c{at}"):
             covered, longest = measure(Texts.of(b.column(at)), min_words, long_word)
-            kept = b.filter(pa.array((covered <= max_covered) & (longest <= max_longest)))
-            yield kept.rename_columns(df_columns)
+            yield b.filter(pa.array((covered <= max_covered) & (longest <= max_longest)))
 
-    df_columns = df.columns
-    return df.mapInArrow(run, df.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)

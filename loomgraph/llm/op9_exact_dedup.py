@@ -18,13 +18,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named
+
 SALTS = 16
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of df that stay, with its columns."""
     others = [c for c in df.columns if c not in (id_col, text_col)]
-    order = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
+    order = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), *[named(c).alias(f"c{i}") for i, c in enumerate(others)])
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("s"), order.alias("w"))
     if not others:  # a long alone is combined in a hash table
         rows = rows.withColumn("w", F.col("w.b"))
