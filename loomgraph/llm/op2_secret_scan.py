@@ -3,7 +3,8 @@
 Candidates are the maximal runs of MIN_LENGTH or more letters, digits and + / - _. For each the
 smallest alphabet that holds all its characters is its inferred encoding. The null hypothesis is
 that the run is ordinary text written in that alphabet; what ordinary text looks like is measured
-on the pairs of neighbouring characters of the whole corpus. Three tests ask how much nearer to
+on the pairs of neighbouring characters in all shorter runs of the whole corpus, so that secrets
+don't blur it. Three tests ask how much nearer to
 uniform random symbols a run is than such text would be:
 
 * chi-squared uniformity over the alphabet, against the noncentral distribution that the letter
@@ -17,6 +18,9 @@ the reverse, so false discoveries are controlled at ALPHA by the Benjamini-Hochb
 each stratum of length. P-values are rounded up to a grid, which keeps them valid, so the rule needs
 only counts by stratum and grid level: a table of bounded size, whatever the corpus.
 
+An alphabet that the corpus hardly uses in one case is judged by its letters in either. Of a corpus
+without any run that is too short for a candidate nothing is known, and nothing is found.
+
 Cases: null and empty texts have no candidates. Texts are taken whole; a run of any length is one
 candidate. Equal p-values are found or not found together. Each row, repeated or not, is scanned,
 and counts. A null doc_id is passed on. An empty table gives an empty result. Only the named columns
@@ -65,15 +69,19 @@ for _k, _name in enumerate(NAMES):
 _RUN = _HOLDS > 0
 
 
-def pairs(texts: Texts) -> np.ndarray:
-    """How often each pair of bytes occurs within a run of the characters of candidates, as 65,536 counts."""
+def pairs(texts: Texts, min_length: int = MIN_LENGTH) -> np.ndarray:
+    """How often each pair of bytes occurs within a run too short for a candidate, as 65,536 counts."""
     d = texts.data
-    if len(d) < 2:
-        return np.zeros(1 << 16, dtype=np.int64)
-    same = _RUN[d[:-1]] & _RUN[d[1:]]
-    borders = texts.offsets[1:-1]
-    same[borders[(borders > 0) & (borders < len(d))] - 1] = False
-    return np.bincount(d[:-1][same].astype(np.int64) * 256 + d[1:][same], minlength=1 << 16)
+    w = runs(texts, _RUN[d])
+    short = (w.end - w.start) < min_length
+    step = np.zeros(len(d) + 1, dtype=np.int8)
+    step[w.start[short]] = 1
+    at_end = w.end[short]
+    step[at_end] -= 1  # 0 where the next run starts at once, in the next document
+    inside = np.cumsum(step[:-1], dtype=np.int8) > 0
+    inside[w.start[short]] = False  # the second of a pair is never the first of its run
+    second = np.flatnonzero(inside)
+    return np.bincount(d[second - 1].astype(np.int64) * 256 + d[second], minlength=1 << 16)
 
 
 class Background:
@@ -81,11 +89,15 @@ class Background:
 
     def __init__(self, counts: np.ndarray):
         table = counts.reshape(256, 256).astype(float)
+        fold = np.array([b + 32 if ord("A") <= b <= ord("Z") else b for b in range(256)])
+        folded = np.zeros((256, 256))
+        np.add.at(folded, (fold[:, None], fold[None, :]), table)
         self.excess, self.changes, self.serial, self.spread = [], [], [], []
         for k, name in enumerate(NAMES):
             own = [ord(c) for c in ALPHABETS[name]]
             size = len(own)
-            t = table[np.ix_(own, own)] + 1.0 / size  # a little of everything, for a small corpus
+            other = folded[np.ix_(fold[own], fold[own])]  # for what the corpus hardly has: as in either case, and a trace of everything
+            t = table[np.ix_(own, own)] + other / max(other.sum(), 1.0) + 0.01 / size**2
             t /= t.sum()
             share = (t.sum(axis=0) + t.sum(axis=1)) / 2
             self.excess.append(size * (share**2).sum() - 1)
@@ -178,11 +190,11 @@ def _parts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
-def background(df: DataFrame, text_col: str = "text") -> Background:
+def background(df: DataFrame, text_col: str = "text", min_length: int = MIN_LENGTH) -> Background:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, dtype=np.int64)
         for b in text_chunks(batches):
-            total += pairs(Texts.of(b.column(0)))
+            total += pairs(Texts.of(b.column(0)), min_length)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], ["pair", "n"])
 
@@ -195,7 +207,7 @@ def background(df: DataFrame, text_col: str = "text") -> Background:
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, min_length: int = MIN_LENGTH) -> DataFrame:
     """(id_col, position, length, encoding, secret, p_value) for each discovery; positions count characters from 0."""
-    known = background(df, text_col)
+    known = background(df, text_col, min_length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches):

@@ -122,10 +122,15 @@ def secrets(docs: list[tuple], alpha: float = op2.ALPHA) -> set[tuple]:
     found = []
     for i, t in docs:
         for m in re.finditer(r"[A-Za-z0-9+/_-]+", t or ""):
-            pairs.update(zip(m[0], m[0][1:]))
+            if len(m[0]) < op2.MIN_LENGTH:
+                pairs.update(zip(m[0], m[0][1:]))
             if len(m[0]) >= op2.MIN_LENGTH:
                 found.append((i, m.start(), next(n for n, a in op2.ALPHABETS.items() if set(m[0]) <= set(a)), m[0]))
 
+    folded = Counter()
+    for (a, b), n in pairs.items():
+        folded[a.lower(), b.lower()] += n
+
     def kinds(signs):
         kind = {c: "U" if c.isupper() else "L" if c.islower() else "D" if c.isdigit() else "S" for c in signs}
         return kind if len(set(kind.values())) > 1 else {c: int(k >= len(signs) / 2) for k, c in enumerate(signs)}
@@ -134,7 +139,8 @@ def secrets(docs: list[tuple], alpha: float = op2.ALPHA) -> set[tuple]:
     def known(name):
         signs = op2.ALPHABETS[name]
         m, kind = len(signs), kinds(signs)
-        t = {(a, b): pairs[a, b] + 1 / m for a in signs for b in signs}
+        other = {(a, b): folded[a.lower(), b.lower()] for a in signs for b in signs}
+        t = {(a, b): pairs[a, b] + other[a, b] / max(1, sum(other.values())) + 0.01 / m**2 for a in signs for b in signs}
         whole = sum(t.values())
         share = {c: sum(t[c, d] + t[d, c] for d in signs) / 2 / whole for c in signs}
         x = {c: (k - (m - 1) / 2) / math.sqrt((m * m - 1) / 12) for k, c in enumerate(signs)}
