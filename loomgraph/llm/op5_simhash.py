@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import cut, store, text_chunks
 from .kernels import Texts, hashes, mix, runs, split_long
 
-RADIUS = 4
+RADIUS = 8
 SET_RADIUS = 24
 LONG_WORD = 64
 #: Fingerprints drawn to place the vantage points of the shared top of the tree.

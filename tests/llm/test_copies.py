@@ -75,6 +75,24 @@ def test_near_copies_equal_brute_force_and_hold_the_planted(spark):
     assert sorted(map(str, kept)) == sorted(str(i) for i, _ in docs if i not in found)
 
 
+def test_short_texts_with_some_words_edited_are_near(spark):
+    rng = np.random.default_rng(10)
+    docs, planted = [], {}
+    for i in range(0, 2 * 240, 2):
+        words = [f"w{int(k)}" for k in rng.integers(0, 3000, int(rng.integers(50, 201)))]
+        near = list(words)
+        share = rng.uniform(0.03, 0.1)
+        for at in rng.choice(len(near), max(1, round(share * len(near))), replace=False):
+            near[at] = f"edit{int(rng.integers(10**6))}"
+        docs += [(i, " ".join(words)), (i + 1, " ".join(near))]
+        planted[i + 1] = (i, share)
+    found = {r.doc_id: r.duplicate_of for r in op5.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert found == near_copies(docs)
+    caught = lambda most: np.mean([found.get(k) == i for k, (i, share) in planted.items() if share <= most])
+    assert caught(0.06) >= 0.95 and caught(0.1) >= 0.8
+    assert not [i for i in found if i not in planted]
+
+
 def test_thousands_of_copies_are_one_point(spark):
     text = prose(np.random.default_rng(9), 200)
     df = spark.range(5000).selectExpr("id AS doc_id", f"'{text}' AS text")
