@@ -5,7 +5,10 @@ array, none of which compares with another), and the longest common prefix of ne
 intervals of the suffix array. The deepest interval that holds a suffix has the longest repeated
 string that starts there; all maximal repeated strings together cover just what these strings cover.
 A document goes if the repeated strings of MIN_WORDS words or more cover too much of it, or if the
-longest is too long.
+longest is too long. It also goes if these and shorter repeats together cover over MAX_SHORT of it.
+Of the shorter ones count tandem repeats, whose occurrences overlap or touch and share SHORT_WORDS
+words or more (a word said four times), and strings of as many words and SCATTERED_CHARS characters
+that occur three times; a short line that is there twice is no fault.
 
 Words are runs without white space, and a run of over LONG_WORD bytes counts as one word for each
 character, so text without spaces is compared by character. Lengths are in characters, white space
@@ -31,16 +34,19 @@ from .common import text_chunks
 from .kernels import Texts, by_doc, hashes, words
 
 MIN_WORDS = 16
+SHORT_WORDS = 3
+SCATTERED_CHARS = 32
 LONG_WORD = 64
 MAX_COVERED = 0.3
+MAX_SHORT = 0.5
 MAX_LONGEST = 1000
 
 
-def longest_repeats(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each position the length of the longest string that starts there and also elsewhere in its document."""
+def repeats(tokens: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the lengths of the longest strings that start there and occur twice and three times in its document."""
     n = len(tokens)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.lexsort((tokens, doc))
     t, d = tokens[order], doc[order]
     new = np.ones(n, dtype=bool)
@@ -71,57 +77,96 @@ def longest_repeats(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
         level = levels[k]
         same = level[np.minimum(a + common, n)] == level[np.minimum(b + common, n)]
         common += same << k
-    prefix = np.zeros(n + 1, dtype=np.int64)  # of the suffix at each slot and the one before
-    prefix[near + 1] = common
-    out = np.empty(n, dtype=np.int64)
-    out[order] = np.maximum(prefix[:-1], prefix[1:])
-    return out
+    prefix = np.zeros(n + 3, dtype=np.int64)  # of the suffix at each slot and the one before, from slot -1 on
+    prefix[near + 2] = common
+    twice, thrice = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    twice[order] = np.maximum(prefix[1:-2], prefix[2:-1])
+    three = np.minimum(prefix[:-1], prefix[1:])  # of the suffixes at each slot and the two before
+    thrice[order] = np.maximum(np.maximum(three[:-2], three[1:-1]), three[2:])
+    return twice, thrice
 
 
-def measure(texts: Texts, min_words: int = MIN_WORDS, long_word: int = LONG_WORD) -> tuple[np.ndarray, np.ndarray]:
-    """For each document the covered fraction and the length of the longest repeat."""
+def longest_repeats(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each position the length of the longest string that starts there and also elsewhere in its document."""
+    return repeats(tokens, doc)[0]
+
+
+def _tandem(tokens: np.ndarray, doc: np.ndarray, periods: range, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of all stretches that repeat themselves after one of the periods, for that long and least words or more."""
+    start, end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for p in periods:
+        if p >= len(tokens):
+            break
+        same = np.zeros(len(tokens) - p + 2, dtype=bool)
+        same[1:-1] = (tokens[p:] == tokens[:-p]) & (doc[p:] == doc[:-p])
+        border = np.flatnonzero(same[1:] != same[:-1])
+        a, b = border[::2], border[1::2]
+        long = b - a >= max(p, least)
+        start.append(a[long])
+        end.append(b[long] + p)
+    return np.concatenate(start), np.concatenate(end)
+
+
+def _inside(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of n positions lie in one of the stretches."""
+    cover = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(cover, start, 1)
+    np.add.at(cover, end, -1)
+    return np.cumsum(cover[:-1]) > 0
+
+
+def measure_all(texts: Texts, min_words: int = MIN_WORDS, long_word: int = LONG_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each document the covered fraction, that with short repeats, and the length of the longest repeat."""
     count = len(texts)
     w = words(texts, long_word)
     n = len(w.start)
     if not n:
-        return np.zeros(count), np.zeros(count, np.int64)
-    length = longest_repeats(hashes(texts.data, w), w.doc)
+        return np.zeros(count), np.zeros(count), np.zeros(count, np.int64)
+    tokens = hashes(texts.data, w)
+    length, thrice = repeats(tokens, w.doc)
     chars = np.zeros(len(texts.data) + 1, dtype=np.int64)
     np.cumsum((texts.data & 0xC0) != 0x80, out=chars[1:])
     at = np.flatnonzero(length >= min_words)
-    cover = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(cover, at, 1)
-    np.add.at(cover, at + length[at], -1)
+    long = _inside(n, at, at + length[at])
+    often = np.flatnonzero(thrice >= SHORT_WORDS)
+    often = often[chars[w.end[often + thrice[often] - 1]] - chars[w.start[often]] >= SCATTERED_CHARS]
+    short = long | _inside(n, often, often + thrice[often]) | _inside(n, *_tandem(tokens, w.doc, range(1, min_words), SHORT_WORDS))
     size = chars[w.end] - chars[w.start]
-    covered = by_doc(size * (np.cumsum(cover[:-1]) > 0), w.doc, count)
     total = by_doc(size, w.doc, count)
+    share = lambda inside: np.divide(by_doc(size * inside, w.doc, count), total, out=np.zeros(count), where=total > 0)
     longest = np.zeros(count, dtype=np.int64)
     np.maximum.at(longest, w.doc[at], chars[w.end[at + length[at] - 1]] - chars[w.start[at]])
-    return np.divide(covered, total, out=np.zeros(count), where=total > 0), longest
+    return share(long), share(short), longest
+
+
+def measure(texts: Texts, min_words: int = MIN_WORDS, long_word: int = LONG_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """For each document the covered fraction and the length of the longest repeat."""
+    covered, _, longest = measure_all(texts, min_words, long_word)
+    return covered, longest
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, long_word: int = LONG_WORD) -> DataFrame:
-    """(id_col, covered_fraction, longest_repeat, keep) for each row of df."""
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, long_word: int = LONG_WORD, max_short: float = MAX_SHORT) -> DataFrame:
+    """(id_col, covered_fraction, longest_repeat, short_fraction, keep) for each row of df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches):
-            covered, longest = measure(Texts.of(b.column(1)), min_words, long_word)
-            keep = (covered <= max_covered) & (longest <= max_longest)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(covered), pa.array(longest), pa.array(keep)], ["id", "covered_fraction", "longest_repeat", "keep"])
+            covered, short, longest = measure_all(Texts.of(b.column(1)), min_words, long_word)
+            keep = (covered <= max_covered) & (longest <= max_longest) & (short <= max_short)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(covered), pa.array(longest), pa.array(short), pa.array(keep)], ["id", "covered_fraction", "longest_repeat", "short_fraction", "keep"])
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, covered_fraction double, longest_repeat bigint, keep boolean").withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, f"id {kind}, covered_fraction double, longest_repeat bigint, short_fraction double, keep boolean").withColumnRenamed("id", id_col)
 
 
-def keep_documents(df: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, long_word: int = LONG_WORD) -> DataFrame:
+def keep_documents(df: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, long_word: int = LONG_WORD, max_short: float = MAX_SHORT) -> DataFrame:
     """The rows of df that the rules keep, with all columns."""
     at = df.columns.index(text_col)
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # whatever the names, dots in them included
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches, f"c{at}"):
-            covered, longest = measure(Texts.of(b.column(at)), min_words, long_word)
-            yield b.filter(pa.array((covered <= max_covered) & (longest <= max_longest)))
+            covered, short, longest = measure_all(Texts.of(b.column(at)), min_words, long_word)
+            yield b.filter(pa.array((covered <= max_covered) & (longest <= max_longest) & (short <= max_short)))
 
     return plain.mapInArrow(run, plain.schema).toDF(*df.columns)

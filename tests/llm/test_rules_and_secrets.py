@@ -43,6 +43,33 @@ def test_judgement_and_kept_rows_agree(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, ok in want if ok), key=str)
 
 
+def test_short_repeats_that_fill_a_text_are_seen():
+    plain = prose(np.random.default_rng(5), 90)
+    line = "this short line is there again and again"
+    fresh = [f"n{k}" for k in range(40)]
+    cases = [
+        (" ".join(x for x in ("der", "schchsch", "enge", "und") for _ in range(11)), True),
+        (" ".join(x for x in ("this", "thhant", "of", "men", "ka", "lo") for _ in range(4)), True),
+        ("a b c a b c a b c . d e f d e f d e f", True),
+        (" ".join(f"{line} {x}" for x in fresh[:6]), True),
+        (f"{line} {fresh[0]} {line} {fresh[1]} {fresh[2]}", False),
+        (plain + " ha ha ha ha ha", False),
+        ("der der " + plain, False),
+        (" ".join(fresh), False),
+        ("", False),
+    ]
+    covered, short, _ = op8.measure_all(Texts.of(pa.array([t for t, _ in cases])))
+    assert [bool(s > op8.MAX_SHORT) for s in short] == [gone for _, gone in cases]
+    assert (covered <= op8.MAX_COVERED).all() and (short >= covered).all()
+    assert short[0] == short[1] == 1.0 and short[4] == short[7] == 0.0
+
+
+def test_rows_full_of_short_repeats_go(spark):
+    df = spark.createDataFrame([(1, "der " * 11 + "enge " * 11 + "und " * 11), (2, "one two three")], "doc_id bigint, text string")
+    assert [(r.doc_id, r.keep) for r in op8.judge(df).orderBy("doc_id").collect()] == [(1, False), (2, True)]
+    assert [r.doc_id for r in op8.keep_documents(df).collect()] == [2]
+
+
 def planted(n: int = 150) -> tuple[list, set]:
     rng = np.random.default_rng(4)
     docs, hidden = [], set()
