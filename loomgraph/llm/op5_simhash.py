@@ -18,8 +18,9 @@ fewer than m edges for each shard it lies in.
 Cases: words are runs of letters and digits in any script, without regard to case in Latin scripts;
 a run of over LONG_WORD bytes counts by its overlapping triples of characters. Null texts, texts
 without any word, and documents without doc_id are compared with nothing and stay. Texts are taken
-whole. Of repeated rows, and of rows that share a doc_id, the doc_id is one document: it is a near
-copy if one of its rows is. On a tie in a bit of the SimHash the bit is 0. An empty table gives an
+whole. Rows are grouped by their texts, also where they share a doc_id: `near_copies` names a doc_id
+if one of its rows goes, and `drop_near_copies` drops just that row. A row whose doc_id is the least
+of its group stays, so repeated rows do. On a tie in a bit of the SimHash the bit is 0. An empty table gives an
 empty result. Only the named columns are read; `drop_near_copies` passes all columns on.
 """
 
@@ -319,26 +320,34 @@ def groups_of(edges: DataFrame) -> DataFrame:
     return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, set_radius: int = SET_RADIUS, shards: int = SHARDS) -> DataFrame:
-    """(doc_id, duplicate_of) for each document that goes, with the one of its group that stays."""
+def _gone(df: DataFrame, id_col: str, text_col: str, radius: int, set_radius: int, shards: int) -> DataFrame:
+    """(id, digest, duplicate_of): for each row that goes its doc_id, the digest of its text, and the doc_id that stays."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches):
             doc, f = fingerprints(Texts.of(b.column(1)))
+            pick = pa.array(doc)
             signed = [pa.array(f[:, k].view(np.int64)) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), *signed], ["id", "t0", "t1", "s0", "s1"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(2).take(pick), *signed], ["id", "digest", "t0", "t1", "s0", "s1"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    prints = store(rows.mapInArrow(sign, "id bigint, t0 bigint, t1 bigint, s0 bigint, s1 bigint"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest")).where("id IS NOT NULL AND text IS NOT NULL")
+    prints = store(rows.mapInArrow(sign, "id bigint, digest bigint, t0 bigint, t1 bigint, s0 bigint, s1 bigint"))
     key = ["t0", "t1", "s0", "s1"]
-    points = cut(prints.groupBy(key).agg(F.min("id").alias("node")))
+    points = cut(prints.groupBy(key).agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
     root = groups_of(near_edges(points, radius, set_radius, shards))
-    same = prints.join(points, key).select("id", "node").join(root, "node", "left")
-    out = same.select(F.col("id").alias("doc_id"), F.coalesce("root", "node").alias("duplicate_of"))
-    return out.where("doc_id != duplicate_of").groupBy("doc_id").agg(F.min("duplicate_of").alias("duplicate_of"))
+    member = root.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
+    first = member.join(points.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("first"))
+    known = points.join(member.join(first, "root").select("node", "first"), "node", "left").select(*key, F.coalesce("first", "least").alias("duplicate_of"))
+    return prints.join(known, key).select("id", "digest", "duplicate_of").where("id != duplicate_of")
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, set_radius: int = SET_RADIUS, shards: int = SHARDS) -> DataFrame:
+    """(doc_id, duplicate_of) for each document that goes, with the one of its group that stays."""
+    gone = _gone(df, id_col, text_col, radius, set_radius, shards)
+    return gone.groupBy(F.col("id").alias("doc_id")).agg(F.min("duplicate_of").alias("duplicate_of"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, set_radius: int = SET_RADIUS) -> DataFrame:
     """The rows of df that stay, with its columns."""
-    gone = near_copies(df, id_col, text_col, radius, set_radius).select(F.col("doc_id").alias("__gone"))
-    return df.join(gone, df[id_col].cast("long") == gone["__gone"], "left_anti")
+    gone = _gone(df, id_col, text_col, radius, set_radius, SHARDS).select(F.col("id").alias("__gone"), F.col("digest").alias("__text"))
+    return df.join(gone, (df[id_col].cast("long") == gone["__gone"]) & (F.xxhash64(df[text_col]) == gone["__text"]), "left_anti")

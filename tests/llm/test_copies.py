@@ -93,6 +93,16 @@ def test_short_texts_with_some_words_edited_are_near(spark):
     assert not [i for i in found if i not in planted]
 
 
+def test_rows_that_share_a_doc_id_are_dropped_one_by_one(spark):
+    rng = np.random.default_rng(11)
+    a, b, c = (" ".join(f"w{int(k)}" for k in rng.integers(0, 3000, 150)) for _ in range(3))
+    rows = [(1, a), (5, a + " more"), (5, b), (5, None), (9, b + " more"), (9, c), (9, c)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {(r.doc_id, r.duplicate_of) for r in op5.near_copies(df).collect()} == {(5, 1), (9, 5)}
+    kept = sorted(map(tuple, op5.drop_near_copies(df).collect()), key=str)
+    assert kept == sorted([(1, a), (5, b), (5, None), (9, c), (9, c)], key=str)
+
+
 def test_thousands_of_copies_are_one_point(spark):
     text = prose(np.random.default_rng(9), 200)
     df = spark.range(5000).selectExpr("id AS doc_id", f"'{text}' AS text")
