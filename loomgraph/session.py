@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import sys
 import tempfile
 import zipfile
@@ -28,12 +30,20 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors see; a folder of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """spark.checkpoint.dir, which all executors see.
+
+    Where it is unset, a session with its executors in its own process gets a folder of its own; on a
+    cluster that is an error, as a folder of one machine is none of the others'.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
         found = tempfile.mkdtemp(prefix="loomgraph-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
+        atexit.register(shutil.rmtree, found, True)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
     return found
 
 
@@ -41,3 +51,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there; loops stay cheap and survive lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever filesystem it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
