@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.session import ship
+from loomgraph.session import cut, discard, shared_dir, ship
+
+__all__ = ["cut", "digest_int", "discard", "named", "scratch", "shared_dir", "store", "table", "text_chunks"]
 
 #: Bytes of text that the vectorised kernels take at a time, so that a batch of long documents
 #: never holds more than a few arrays of this length.
@@ -24,25 +27,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see (spark.checkpoint.dir); one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="loomgraph-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+_scratch: ContextVar[str] = ContextVar("scratch", default="")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read on from there: short lineage, survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What store() writes within is deleted at the end; results that read it must be written by then."""
+    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        discard(spark, folder)
 
 
 def store(df: DataFrame) -> DataFrame:
     """As cut(), but as a Parquet table, for what is read again by column or is large."""
-    path = f"{shared_dir(df.sparkSession)}/loomgraph-{uuid.uuid4().hex}"
+    path = f"{_scratch.get() or shared_dir(df.sparkSession)}/loomgraph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
