@@ -15,15 +15,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from .common import named
 from .vocabulary import DEFAULT_MODEL, Memo, Vocabulary, segments
 
 
+#: Characters of a long segment that are searched at a time.
+BLOCK = 1024
+
+
 class Counter:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -39,29 +44,51 @@ class Counter:
         v, n = self.vocabulary, len(s)
         if not n:
             return 0
-        best = [float("-inf")] * n
-        count = [0] * n
-        best.append(0.0)  # these last two are also found at -1, in front of the text
-        count.append(0)
-        if v.singles.issuperset(s):
+        if n <= BLOCK and v.singles.issuperset(s):
+            best = [float("-inf")] * n
+            count = [0] * n
+            best.append(0.0)  # these last two are also found at -1, in front of the text
+            count.append(0)
             for last, (length, score) in self.automaton.iter(s):  # by end; of one end, the longest first
                 if (total := best[last - length] + score) > best[last]:
                     best[last] = total
                     count[last] = count[last - length] + 1
             return count[n - 1]
-        matches: list[list] = [[] for _ in range(n)]
-        if len(self.automaton):
-            for last, match in self.automaton.iter(s):
-                matches[last].append(match)
-        for last in range(n):
-            for length, score in matches[last]:
-                if (total := best[last - length] + score) > best[last]:
-                    best[last] = total
-                    count[last] = count[last - length] + 1
-            if s[last] not in v.singles and best[last - 1] + v.unknown_score > best[last]:
-                best[last] = best[last - 1] + v.unknown_score
-                count[last] = count[last - 1] + len(v.unknown_ids(s[last]))
-        return count[n - 1]
+        return self._in_blocks(s)
+
+    def _in_blocks(self, s: str) -> int:
+        """The same for long segments and unknown characters, with only as many positions at hand as a piece can reach back."""
+        v, base = self.vocabulary, 0
+        best, count, odd = [0.0], [0], [False]  # odd: whether the last piece on the path is the unknown id
+        for first in range(0, len(s), BLOCK):
+            block = s[first : first + BLOCK]
+            if (gone := len(best) - v.longest) > 0:
+                del best[:gone], count[:gone], odd[:gone]
+                base += gone
+            best += [float("-inf")] * len(block)
+            count += [0] * len(block)
+            odd += [False] * len(block)
+            strange = [first + k for k, c in enumerate(block) if c not in v.singles]
+            before = max(0, first - v.longest)  # where a piece that ends in the block may begin
+            found = self.automaton.iter(s[before : first + len(block)]) if len(self.automaton) else ()
+            k = 0
+            for last, (length, score) in chain(found, [(first + len(block) - before, (0, 0.0))]):
+                last += before
+                if last < first:
+                    continue
+                while k < len(strange) and strange[k] < last:  # after all pieces that end in it, as the shortest
+                    at = strange[k] + 1 - base
+                    if (total := best[at - 1] + v.unknown_score) > best[at]:
+                        best[at] = total
+                        odd[at] = v.bytes is None
+                        count[at] = count[at - 1] + (0 if odd[at] and odd[at - 1] else len(v.unknown_ids(s[strange[k]])))
+                    k += 1
+                at = last + 1 - base
+                if length and (total := best[at - length] + score) > best[at]:
+                    best[at] = total
+                    odd[at] = False
+                    count[at] = count[at - length] + 1
+        return count[-1]
 
     def count(self, text: str) -> int:
         return sum(map(self.memo.__getitem__, segments(text, self.vocabulary.cuts)))
@@ -81,6 +108,6 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = [None if x is None else count(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["id", "n_tokens"])
 
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = df.select(named(id_col).alias("id"), named(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {kind}, n_tokens bigint").withColumnRenamed("id", id_col)

@@ -5,12 +5,16 @@ unigram model: the best segmentation is the one with the greatest sum of scores,
 precision; of equal sums into one position the piece that starts earliest wins, as in the reference
 decoders, which visit starts in ascending order and replace only on a strictly greater score. A
 character that no single piece covers costs the least score less 10 and is written as its UTF-8
-bytes, if the model has byte pieces.
+bytes; if the model has no byte pieces, a run of such characters is one unknown id.
+
+Texts are read as they are, with one space mark in front. A model that asks for anything else (rules
+of normalisation, extra white space taken away, no mark in front or one behind) is refused.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 SPACE = "▁"
@@ -30,7 +34,8 @@ class Vocabulary:
         self.singles = {p for p in self.pieces if len(p) == 1}
         self.unknown_score = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
         # Where no piece holds a space mark after another character, nor a line end, each path passes there.
-        self.cuts = not any(a != SPACE == b for p in self.pieces for a, b in zip(p, p[1:])) and not any("\n" in p for p in self.pieces)
+        # Unknown characters on both sides of a cut would be one id, unless they are written as bytes.
+        self.cuts = self.bytes is not None and not any(a != SPACE == b for p in self.pieces for a, b in zip(p, p[1:])) and not any("\n" in p for p in self.pieces)
         #: For each id, the bytes that it decodes to.
         self.decoded = [
             bytes([int(p[3:5], 16)]) if kind == "byte" else p.replace(SPACE, " ").encode() if kind == "normal" else b""
@@ -47,11 +52,56 @@ class Vocabulary:
         return [self.unknown] if self.bytes is None else [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            out |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return out
+
+    while at < len(data):
+        key = number()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, number()
+            continue
+        size = number() if kind == 2 else {1: 8, 5: 4}[kind]
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
+def check_settings(model: bytes) -> None:
+    """Raise ValueError if a model file asks for texts that are read otherwise than here."""
+    trainer: dict = {}
+    normaliser: dict = {}
+    for field, value in _fields(model):
+        if field in (2, 3):
+            (trainer if field == 2 else normaliser).update(_fields(value))
+    asks = {
+        "rules of normalisation": bool(normaliser.get(2)),
+        "no space mark in front": not normaliser.get(3, 1),
+        "extra white space taken away": bool(normaliser.get(4, 1)),
+        "spaces left unmarked": not normaliser.get(5, 1),
+        "space marks behind words": bool(trainer.get(24, 0)),
+    }
+    if odd := [what for what, so in asks.items() if so]:
+        raise ValueError(f"the model asks for {', '.join(odd)}, which isn't supported")
+
+
 @lru_cache(maxsize=2)
 def _load(path: str) -> Vocabulary:
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
+    check_settings(p.serialized_model_proto())
     kind = lambda i: "byte" if p.is_byte(i) else "other" if p.is_control(i) or p.is_unused(i) or p.is_unknown(i) else "normal"
     return Vocabulary([(p.id_to_piece(i), p.get_score(i), kind(i)) for i in range(p.get_piece_size())])
 
