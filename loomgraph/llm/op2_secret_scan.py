@@ -24,7 +24,8 @@ without any run that is too short for a candidate nothing is known, and nothing
 Cases: null and empty texts have no candidates. Texts are taken whole; a run of any length is one
 candidate. Equal p-values are found or not found together. Each row, repeated or not, is scanned,
 and counts. A null doc_id is passed on. An empty table gives an empty result. Only the named columns
-are read.
+are read. Runs of fewer than MIN_LENGTH characters (short passwords) are not tested: at that length
+ordinary words can't be told from random symbols.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, text_chunks
+from .common import named, store, text_chunks
 from .kernels import Texts, runs
 
 MIN_LENGTH = 16
@@ -46,6 +47,8 @@ ALPHA = 0.005
 STRATA = (16, 20, 24, 32, 48, 80, 160)
 #: Grid levels for each factor of ten of a p-value, and the least p-value told apart.
 GRID, LEAST = 64, 1e-300
+#: Runs up to this long have their binomial tails in a table; all tables together hold a few MB.
+TABLE = 256
 
 _D, _L, _U = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: By size, so that the first that holds a run is the smallest.
@@ -110,7 +113,7 @@ class Background:
             self.spread.append(float((t * product**2).sum()) - mean**2)
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=len(NAMES) * TABLE)
 def _tails(n: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """P(X <= k) and P(X >= k) for the binomial, k from 0 to n."""
     logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
@@ -119,6 +122,33 @@ def _tails(n: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(np.cumsum(p), 1), np.minimum(np.cumsum(p[::-1])[::-1], 1)
 
 
+def _beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction (modified Lentz)."""
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / d
+    total, m = d, 0
+    while True:
+        m += 1
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + term * d)
+            c = 1 + term / c
+            total *= c * d
+        if abs(c * d - 1) < 1e-13:
+            return min(1.0, front * total)
+
+
+def tail(n: int, rate: float, k: int, up: bool) -> float:
+    """P(X >= k) or P(X <= k) for the binomial: from a table for short runs, of which there are many, else on its own."""
+    if n <= TABLE:
+        return float(_tails(n, rate)[int(up)][k])
+    if up:
+        return 1.0 if k == 0 else _beta(k, n - k + 1, rate)
+    return 1.0 if k == n else _beta(n - k, k + 1, 1 - rate)
+
+
 _erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
@@ -163,7 +193,7 @@ def test(data: np.ndarray, start: np.ndarray, end: np.ndarray, known: Background
         turns = np.bincount(own[1:][inside & (kind[1:] != kind[:-1])], minlength=len(mine))
         rate, shares = known.changes[k], np.bincount(_KIND[k][[ord(x) for x in ALPHABETS[NAMES[k]]]]) / signs
         up = 1 - (shares**2).sum() >= rate
-        p_runs = np.array([_tails(int(m) - 1, rate)[int(up)][t] for m, t in zip(n, turns)])
+        p_runs = np.array([tail(int(m) - 1, rate, int(t), up) for m, t in zip(n, turns)])
         x = (index - (signs - 1) / 2) / math.sqrt((signs**2 - 1) / 12)
         product = np.bincount(own[1:][inside], weights=(x[1:] * x[:-1])[inside], minlength=len(mine))
         z = (product - (n - 1) * known.serial[k]) / np.sqrt((n - 1) * max(known.spread[k], 1e-6))
@@ -187,7 +217,7 @@ def thresholds(counts: list[tuple[int, int, int]], alpha: float = ALPHA) -> dict
 
 
 def _parts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return df.select(named(id_col).alias("id"), named(text_col).alias("text"))
 
 
 def background(df: DataFrame, text_col: str = "text", min_length: int = MIN_LENGTH) -> Background:
@@ -198,7 +228,7 @@ def background(df: DataFrame, text_col: str = "text", min_length: int = MIN_LENG
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], ["pair", "n"])
 
-    found = df.select(F.col(text_col).alias("text")).mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    found = df.select(named(text_col).alias("text")).mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 << 16, dtype=np.int64)
     for pair, n in found:
         counts[pair] = n
