@@ -8,7 +8,7 @@ Pairs are found exactly. The top of a vantage-point tree, built on the driver ov
 splits the space of fingerprints by Hamming distance into shards; each fingerprint lives in one
 shard and is sent as a query to each later shard that its ball of RADIUS overlaps, by the triangle
 bound |d(q, v) - r|. Which vantage points are drawn changes the balance of the shards and nothing
-else. A shard builds its own tree over what lives there, streams the queries past it and prunes
+else. The number of shards follows from the memory of a task, as rows sent grow with it (see Plan). A shard builds its own tree over what lives there, streams the queries past it and prunes
 branches by the same bound. Pairs join documents into groups, of which the least doc_id stays.
 
 Equal fingerprints are one point, so thousands of copies cost as one. A shard reports a spanning
@@ -18,7 +18,7 @@ fewer than m edges for each shard it lies in.
 Cases: words are runs of letters and digits in any script, without regard to case in Latin scripts;
 a run of over LONG_WORD bytes counts by its overlapping triples of characters. Null texts, texts
 without any word, and documents without doc_id are compared with nothing and stay. Texts are taken
-whole. Rows are grouped by their texts, also where they share a doc_id: `near_copies` names a doc_id
+whole. A doc_id may be of any type with an order. Rows are grouped by their texts, also where they share a doc_id: `near_copies` names a doc_id
 if one of its rows goes, and `drop_near_copies` drops just that row. A row whose doc_id is the least
 of its group stays, so repeated rows do. On a tie in a bit of the SimHash the bit is 0. An empty table gives an
 empty result. Only the named columns are read; `drop_near_copies` passes all columns on.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, store, text_chunks
+from .common import cut, named, store, text_chunks
 from .kernels import Texts, hashes, mix, runs, split_long
 
 RADIUS = 8
@@ -41,8 +41,8 @@ SET_RADIUS = 24
 LONG_WORD = 64
 #: Fingerprints drawn to place the vantage points of the shared top of the tree.
 SAMPLE = 20_000
-#: Least number of shards, and the number of points for which one more is made.
-SHARDS, SHARD_POINTS = 24, 100_000
+#: Least number of shards; points that a shard's tree may hold (some 100 bytes each); rows that one task may ask it about.
+SHARDS, SHARD_POINTS, TASK_ROWS = 24, 2_000_000, 4_000_000
 LEAF = 128
 
 _WORD = np.zeros(256, dtype=bool)
@@ -185,6 +185,40 @@ class Shards:
         return i, s, (s > home[i]).astype(np.int8)
 
 
+class Plan:
+    """Which tasks the search is split into: shards of one tree over a fingerprint, each in slices by what is asked.
+
+    How many rows a point is sent as grows with the number of shards, so that follows from the memory
+    of a task alone: at least `shards`, and more only where a shard would hold over SHARD_POINTS. A
+    shard that many rows are sent to has several slices: each holds all its points, and answers for
+    its share of what is asked.
+    """
+
+    def __init__(self, sample: np.ndarray, total: int, radius: int, shards: int = SHARDS, first: int = 0):
+        sample = np.unique(sample)
+        self.shards = Shards(sample, max(shards, -(-total // SHARD_POINTS)))
+        i, s, _ = self.shards.spread(sample, radius)
+        self.sent = len(i) / max(1, len(sample))
+        rows = np.bincount(s, minlength=len(self.shards)) * (total / max(1, len(sample)))
+        self.slices = np.maximum(1, np.ceil(rows / TASK_ROWS)).astype(np.int64)
+        self.first = first + np.concatenate(([0], np.cumsum(self.slices)[:-1]))
+        self.end = first + int(self.slices.sum())
+
+    def place(self, points: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(point, task, 1 if it only asks there)."""
+        i, s, asks = self.shards.spread(points, radius)
+        own = np.flatnonzero(asks == 0)
+        times = self.slices[s[own]]
+        slot = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        other = np.flatnonzero(asks)
+        task = np.concatenate((self.first[np.repeat(s[own], times)] + slot, self.first[s[other]] + node[i[other]] % self.slices[s[other]]))
+        return np.concatenate((np.repeat(i[own], times), i[other])), task, np.concatenate((np.zeros(len(slot), np.int8), np.ones(len(other), np.int8)))
+
+    def slice_of(self) -> list[tuple[int, int]]:
+        """(slice, slices of its shard) of each task."""
+        return [(k, int(n)) for n in self.slices for k in range(n)]
+
+
 def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """label, as the least index of each group, with a and b joined in pairs."""
     while True:
@@ -199,30 +233,35 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """The search within one shard: points first, then queries in batches; edges of a spanning forest."""
+    """The search within one slice of a shard: points first, then queries in batches; edges of a spanning forest."""
 
-    def __init__(self, rows: np.ndarray, sets: np.ndarray, node: np.ndarray, radius: int, set_radius: int):
+    def __init__(self, rows: np.ndarray, sets: np.ndarray, node: np.ndarray, radius: int, set_radius: int, part: tuple[int, int] = (0, 1)):
         self.sets, self.node, self.radius, self.set_radius = sets, node, radius, set_radius
         self.tree = Tree(rows)
         self.label = np.arange(len(rows))
-        for a, b in self._near(rows, sets, None):
+        own = np.flatnonzero(node % part[1] == part[0])  # the other slices ask for the others
+        for a, b in self._near(rows[own], sets[own], own):
             self.label = _joined(self.label, a, b)
 
     def _near(self, rows: np.ndarray, sets: np.ndarray, own: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs near in both fingerprints; among the points themselves only those not joined yet."""
-        for a, b in self.tree.within(rows, self.radius):
-            if own is None:
-                apart = (a < b) & (self.label[a] != self.label[b])
-                a, b = a[apart], b[apart]
-            if len(a):
-                near = np.bitwise_count(sets[a] ^ self.sets[b]).sum(axis=1, dtype=np.int64) <= self.set_radius
-                if near.any():
-                    yield a[near], b[near]
+        """Pairs near in both fingerprints; if own says which points the rows are, as points and only those not joined yet."""
+        for first in range(0, len(rows), 1 << 16):
+            for at, b in self.tree.within(rows[first : first + (1 << 16)], self.radius):
+                at = at + first
+                a = at
+                if own is not None:
+                    a = own[at]
+                    apart = self.label[a] != self.label[b]
+                    at, a, b = at[apart], a[apart], b[apart]
+                if len(a):
+                    near = np.bitwise_count(sets[at] ^ self.sets[b]).sum(axis=1, dtype=np.int64) <= self.set_radius
+                    if near.any():
+                        yield a[near], b[near]
 
     def query(self, rows: np.ndarray, sets: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """An edge for each query that has a partner here."""
         one = np.full(len(rows), -1, dtype=np.int64)
-        for a, b in self._near(rows, sets, node):
+        for a, b in self._near(rows, sets, None):
             fresh = one[a] < 0
             one[a[fresh]] = b[fresh]
             self.label = _joined(self.label, one[a], b)
@@ -240,23 +279,23 @@ def _columns(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return get("f").view(np.uint64), np.stack([get("s0"), get("s1")], axis=1).view(np.uint64), get("node")
 
 
-def _search(batches: Iterator[pa.RecordBatch], radius: int, set_radius: int) -> Iterator[pa.RecordBatch]:
-    """One partition: for each shard in it its points, then its queries."""
+def _search(batches: Iterator[pa.RecordBatch], radius: int, set_radius: int, slices: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """One partition: for each task in it its points, then its queries."""
     batch = lambda e: pa.RecordBatch.from_arrays([pa.array(e[0], pa.int64()), pa.array(e[1], pa.int64())], ["a", "b"])
-    shard, points, search = None, [], None
+    task, points, search = None, [], None
 
     def begin() -> Search:
-        return Search(*[np.concatenate(x) for x in zip(*points)], radius, set_radius)
+        return Search(*[np.concatenate(x) for x in zip(*points)], radius, set_radius, slices[task])
 
     for whole in batches:
         kind = whole.column(0).to_numpy() * 2 + whole.column(1).to_numpy()
         borders = np.flatnonzero(np.append(True, kind[1:] != kind[:-1])).tolist() + [len(kind)]
         for i, j in zip(borders, borders[1:]):
             at, asks = divmod(int(kind[i]), 2)
-            if at != shard:
+            if at != task:
                 if points or search:
                     yield batch((search or begin()).edges())
-                shard, points, search = at, [], None
+                task, points, search = at, [], None
             part = _columns(whole.slice(i, j - i))
             if not asks:
                 points.append(part)
@@ -273,29 +312,29 @@ def near_edges(points: DataFrame, radius: int = RADIUS, set_radius: int = SET_RA
     total = points.count()
     if not total:
         return points.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    count = shards + total // SHARD_POINTS
     sample = points.select("t0", "t1").sample(min(1.0, 1.5 * SAMPLE / total), 11).limit(SAMPLE).toPandas()
     if not len(sample):
         sample = points.select("t0", "t1").limit(SAMPLE).toPandas()
-    tops = [Shards(np.unique(sample[c].to_numpy().view(np.uint64)), count) for c in ("t0", "t1")]
-    first = [0, len(tops[0])]
+    one = Plan(sample["t0"].to_numpy().view(np.uint64), total, radius, shards)
+    plans = [one, Plan(sample["t1"].to_numpy().view(np.uint64), total, radius, shards, one.end)]
+    slices = [x for plan in plans for x in plan.slice_of()]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
-                for t in (0, 1):
+                for t, plan in enumerate(plans):
                     f = b.column(1 + t)
-                    i, shard, asks = tops[t].spread(f.to_numpy().view(np.uint64), radius)
+                    i, task, asks = plan.place(f.to_numpy().view(np.uint64), b.column(0).to_numpy(), radius)
                     pick = pa.array(i)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(shard + first[t], pa.int32()), pa.array(asks, pa.int8()), b.column(0).take(pick), f.take(pick), b.column(3).take(pick), b.column(4).take(pick)],
-                        ["shard", "asks", "node", "f", "s0", "s1"],
+                        [pa.array(task, pa.int32()), pa.array(asks, pa.int8()), b.column(0).take(pick), f.take(pick), b.column(3).take(pick), b.column(4).take(pick)],
+                        ["task", "asks", "node", "f", "s0", "s1"],
                     )
 
-    sent = points.select("node", "t0", "t1", "s0", "s1").mapInArrow(spread, "shard int, asks tinyint, node bigint, f bigint, s0 bigint, s1 bigint")
-    placed = sent.repartitionById(len(tops[0]) + len(tops[1]), F.col("shard")).sortWithinPartitions("shard", "asks")
-    return placed.mapInArrow(lambda batches: _search(batches, radius, set_radius), "a bigint, b bigint")
+    sent = points.select("node", "t0", "t1", "s0", "s1").mapInArrow(spread, "task int, asks tinyint, node bigint, f bigint, s0 bigint, s1 bigint")
+    placed = sent.repartitionById(len(slices), F.col("task")).sortWithinPartitions("task", "asks")
+    return placed.mapInArrow(lambda batches: _search(batches, radius, set_radius, slices), "a bigint, b bigint")
 
 
 def groups_of(edges: DataFrame) -> DataFrame:
@@ -330,8 +369,9 @@ def _gone(df: DataFrame, id_col: str, text_col: str, radius: int, set_radius: in
             signed = [pa.array(f[:, k].view(np.int64)) for k in range(4)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(2).take(pick), *signed], ["id", "digest", "t0", "t1", "s0", "s1"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest")).where("id IS NOT NULL AND text IS NOT NULL")
-    prints = store(rows.mapInArrow(sign, "id bigint, digest bigint, t0 bigint, t1 bigint, s0 bigint, s1 bigint"))
+    rows = df.select(named(id_col).alias("id"), named(text_col).alias("text"), F.xxhash64(named(text_col)).alias("digest")).where("id IS NOT NULL AND text IS NOT NULL")
+    kind = rows.schema["id"].dataType.simpleString()
+    prints = store(rows.mapInArrow(sign, f"id {kind}, digest bigint, t0 bigint, t1 bigint, s0 bigint, s1 bigint"))
     key = ["t0", "t1", "s0", "s1"]
     points = cut(prints.groupBy(key).agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
     root = groups_of(near_edges(points, radius, set_radius, shards))
@@ -350,4 +390,6 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, set_radius: int = SET_RADIUS) -> DataFrame:
     """The rows of df that stay, with its columns."""
     gone = _gone(df, id_col, text_col, radius, set_radius, SHARDS).select(F.col("id").alias("__gone"), F.col("digest").alias("__text"))
-    return df.join(gone, (df[id_col].cast("long") == gone["__gone"]) & (F.xxhash64(df[text_col]) == gone["__text"]), "left_anti")
+    rows = df.select(F.struct(*map(named, df.columns)).alias("row"))  # in a struct no name can clash
+    text = F.col("row").getField(text_col)
+    return rows.join(gone, (F.col("row").getField(id_col) == F.col("__gone")) & (F.xxhash64(text) == F.col("__text")), "left_anti").select("row.*")
