@@ -19,10 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import named
+
 
 @dataclass(frozen=True)
 class Template:
-    """moves: {state: {role: next state}}; head, tail: with {role} where the role's name goes."""
+    """moves: {state: {role: next state}}; head, tail: with {role} wherever the role's name goes."""
 
     moves: dict[str, dict[str, str]]
     start: str
@@ -52,8 +54,8 @@ def _walk(turns: Column, template: Template) -> Column:
 
 def format_chats(df: DataFrame, template: Template = CHATML, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, segment, turn, role, text, loss, error): segments count from 0 in each conversation."""
-    row = F.struct(F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chats = df.where(F.col(conv_col).isNotNull()).groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_set(row)).alias("turns"))
+    row = F.struct(named(turn_col).cast("long").alias("turn"), named(role_col).alias("role"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    chats = df.where(named(conv_col).isNotNull()).groupBy(named(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_set(row)).alias("turns"))
     numbers = F.transform("turns", lambda t: t["turn"])
     state = _walk(F.col("turns"), template)
     error = (
@@ -62,13 +64,12 @@ def format_chats(df: DataFrame, template: Template = CHATML, conv_col: str = "co
         .when(state.isNull(), "turn order")
         .when(~state.isin(*template.ends), "unfinished")
     )
-    before, _, after = template.head.partition("{role}")
+    filled = lambda text, t: F.replace(F.lit(text), F.lit("{role}"), t["role"]) if "{role}" in text else F.lit(text)
     learned = lambda t: t["role"].isin(*template.learned)
 
     def segments(t: Column, i: Column) -> Column:
         part = lambda k, text, loss: F.struct((i * 3 + k).cast("int").alias("segment"), t["turn"].alias("turn"), t["role"].alias("role"), text.alias("text"), loss.alias("loss"))
-        head = F.concat(F.lit(before), t["role"], F.lit(after)) if "{role}" in template.head else F.lit(template.head)
-        return F.array(part(0, head, F.lit(False)), part(1, t["text"], learned(t)), part(2, F.lit(template.tail), learned(t) & F.lit(template.learn_tail)))
+        return F.array(part(0, filled(template.head, t), F.lit(False)), part(1, t["text"], learned(t)), part(2, filled(template.tail, t), learned(t) & F.lit(template.learn_tail)))
 
     judged = chats.withColumn("error", error)
     parts = F.when(F.col("error").isNull(), F.flatten(F.transform("turns", segments)))
