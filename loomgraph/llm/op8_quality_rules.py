@@ -10,8 +10,9 @@ Of the shorter ones count tandem repeats, whose occurrences overlap or touch and
 words or more (a word said four times), and strings of as many words and SCATTERED_CHARS characters
 that occur three times; a short line that is there twice is no fault.
 
-Words are runs without white space, and a run of over LONG_WORD bytes counts as one word for each
-character, so text without spaces is compared by character. Lengths are in characters, white space
+Words are runs without white space. A run of over LONG_WORD bytes is compared by character, so that
+text without spaces has repeats too; there BYTES_A_WORD bytes count as a word wherever words are
+counted, so a link or a name just beyond LONG_WORD is judged as one just below. Lengths are in characters, white space
 between the words of a repeat included; the covered fraction is that of characters other than white
 space. The two occurrences of a repeat may overlap, as in a word said a hundred times.
 
@@ -28,18 +29,66 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import text_chunks
-from .kernels import Texts, by_doc, hashes, words
+from .common import named, text_chunks
+from .kernels import Texts, by_doc, hashes, split_long, words
 
 MIN_WORDS = 16
 SHORT_WORDS = 3
 SCATTERED_CHARS = 32
 LONG_WORD = 64
+BYTES_A_WORD = 6
 MAX_COVERED = 0.3
 MAX_SHORT = 0.5
 MAX_LONGEST = 1000
+#: Primes and bases of the hashes of stretches of words.
+_HASH = ((2147483647, 1190494759), (2147483629, 1534836661))
+
+
+def _common(tokens: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of positions with equal tokens, how many are equal from there on; the later one stays before end.
+
+    Stretches compare by polynomial hashes modulo two primes, whose prefix sums and powers are all
+    that is held: 24 bytes a word, however long the repeats are.
+    """
+    n = len(tokens)
+    sums, powers = [], []
+    for prime, base in _HASH:
+        power = np.ones(n + 1, dtype=np.uint64)
+        size = 1
+        while size <= n:  # the powers double
+            step = np.uint64(pow(base, size, prime))
+            power[size : 2 * size] = power[: min(size, n + 1 - size)] * step % np.uint64(prime)
+            size *= 2
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(tokens % np.uint64(prime) * power[:n] % np.uint64(prime), out=total[1:])
+        total %= np.uint64(prime)
+        sums.append(total.astype(np.uint32))
+        powers.append(power.astype(np.uint32))
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    common, room = np.ones(len(a), dtype=np.int64), end - high
+
+    def same(i: np.ndarray, length: int) -> np.ndarray:
+        """Whether the pairs i are equal in the length tokens after those known."""
+        out = np.ones(len(i), dtype=bool)
+        x, y = low[i] + common[i], high[i] + common[i]
+        for (prime, _), total, power in zip(_HASH, sums, powers):
+            p = np.uint64(prime)
+            of = lambda at: (total[at + length].astype(np.uint64) + p - total[at]) % p
+            out &= of(x) * power[y - x] % p == of(y)
+        return out
+
+    open_, length = np.arange(len(a)), 1
+    while len(open_):  # longer and longer stretches, while they are equal
+        open_ = open_[common[open_] + length <= room[open_]]
+        open_ = open_[same(open_, length)]
+        common[open_] += length
+        length *= 2
+    while length > 1:  # then what is left, in halves
+        length //= 2
+        fits = np.flatnonzero(common + length <= room)
+        common[fits[same(fits, length)]] += length
+    return common
 
 
 def repeats(tokens: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +103,7 @@ def repeats(tokens: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.full(n + 1, -1, dtype=np.int64)
     rank[order] = head
-    levels, width = [rank.copy()], 1
+    width = 1
     ends = np.append(new[1:], True)
     slots = np.flatnonzero(~(new & ends))  # slots of groups that aren't sorted out
     while len(slots):
@@ -66,17 +115,11 @@ def repeats(tokens: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
         first = np.ones(len(at), dtype=bool)
         first[1:] = key[1:] != key[:-1]
         rank[at] = slots[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
-        levels.append(rank.copy())
         width *= 2
         slots = slots[~(first & np.append(first[1:], True))]
     a, b = order[:-1], order[1:]
-    near = np.flatnonzero(levels[0][a] == levels[0][b])
-    a, b = a[near], b[near]
-    common = np.zeros(len(near), dtype=np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        level = levels[k]
-        same = level[np.minimum(a + common, n)] == level[np.minimum(b + common, n)]
-        common += same << k
+    near = np.flatnonzero((tokens[a] == tokens[b]) & (doc[a] == doc[b]))
+    common = _common(tokens, np.searchsorted(doc, doc, side="right")[np.maximum(a[near], b[near])], a[near], b[near])
     prefix = np.zeros(n + 3, dtype=np.int64)  # of the suffix at each slot and the one before, from slot -1 on
     prefix[near + 2] = common
     twice, thrice = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
@@ -91,8 +134,8 @@ def longest_repeats(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return repeats(tokens, doc)[0]
 
 
-def _tandem(tokens: np.ndarray, doc: np.ndarray, periods: range, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) of all stretches that repeat themselves after one of the periods, for that long and least words or more."""
+def _tandem(tokens: np.ndarray, doc: np.ndarray, weight: np.ndarray, periods: range, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of all stretches that repeat themselves after one of the periods, for that long and a weight of least or more."""
     start, end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for p in periods:
         if p >= len(tokens):
@@ -101,7 +144,7 @@ def _tandem(tokens: np.ndarray, doc: np.ndarray, periods: range, least: int) ->
         same[1:-1] = (tokens[p:] == tokens[:-p]) & (doc[p:] == doc[:-p])
         border = np.flatnonzero(same[1:] != same[:-1])
         a, b = border[::2], border[1::2]
-        long = b - a >= max(p, least)
+        long = (b - a >= p) & (weight[b] - weight[a] >= least)
         start.append(a[long])
         end.append(b[long] + p)
     return np.concatenate(start), np.concatenate(end)
@@ -118,7 +161,7 @@ def _inside(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def measure_all(texts: Texts, min_words: int = MIN_WORDS, long_word: int = LONG_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each document the covered fraction, that with short repeats, and the length of the longest repeat."""
     count = len(texts)
-    w = words(texts, long_word)
+    w, joined = split_long(texts, words(texts), long_word)
     n = len(w.start)
     if not n:
         return np.zeros(count), np.zeros(count), np.zeros(count, np.int64)
@@ -126,11 +169,15 @@ def measure_all(texts: Texts, min_words: int = MIN_WORDS, long_word: int = LONG_
     length, thrice = repeats(tokens, w.doc)
     chars = np.zeros(len(texts.data) + 1, dtype=np.int64)
     np.cumsum((texts.data & 0xC0) != 0x80, out=chars[1:])
-    at = np.flatnonzero(length >= min_words)
+    part = joined | np.append(False, joined[:-1])  # characters of a long run
+    weight = np.zeros(n + 1, dtype=np.int64)
+    np.cumsum(np.where(part, w.end - w.start, BYTES_A_WORD), out=weight[1:])
+    first = np.arange(n)
+    at = np.flatnonzero((length > 0) & (weight[first + length] - weight[:-1] >= min_words * BYTES_A_WORD))
     long = _inside(n, at, at + length[at])
-    often = np.flatnonzero(thrice >= SHORT_WORDS)
+    often = np.flatnonzero((thrice > 0) & (weight[first + thrice] - weight[:-1] >= SHORT_WORDS * BYTES_A_WORD))
     often = often[chars[w.end[often + thrice[often] - 1]] - chars[w.start[often]] >= SCATTERED_CHARS]
-    short = long | _inside(n, often, often + thrice[often]) | _inside(n, *_tandem(tokens, w.doc, range(1, min_words), SHORT_WORDS))
+    short = long | _inside(n, often, often + thrice[often]) | _inside(n, *_tandem(tokens, w.doc, weight, range(1, min_words), SHORT_WORDS * BYTES_A_WORD))
     size = chars[w.end] - chars[w.start]
     total = by_doc(size, w.doc, count)
     share = lambda inside: np.divide(by_doc(size * inside, w.doc, count), total, out=np.zeros(count), where=total > 0)
@@ -154,7 +201,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wor
             keep = (covered <= max_covered) & (longest <= max_longest) & (short <= max_short)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(covered), pa.array(longest), pa.array(short), pa.array(keep)], ["id", "covered_fraction", "longest_repeat", "short_fraction", "keep"])
 
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = df.select(named(id_col).alias("id"), named(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {kind}, covered_fraction double, longest_repeat bigint, short_fraction double, keep boolean").withColumnRenamed("id", id_col)
 
