@@ -8,7 +8,8 @@ threshold, children and value, and a batch of documents walks all trees at once
 
 Cases: a null text counts as empty, and empty texts have a score like others. Texts are taken whole.
 Labels with a null doc_id or quality, and labels of no document, are not used; a document labelled
-twice is used twice. If the labels are none the score is 0.5, and if all are one class it is near
+twice is used twice. Where several rows share a labelled doc_id, the one of the least statistics
+stands for them in training, so the training rows are never more than MAX_TRAIN. If the labels are none the score is 0.5, and if all are one class it is near
 that class. A value on a threshold goes left; a score on CUT keeps. Each row, repeated or not, has
 its score; an empty table gives an empty result. Only the named columns are read.
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest_int, text_chunks
+from .common import digest_int, named, text_chunks
 from .kernels import Texts, by_doc, hashes, words
 
 MAX_TRAIN = 20_000
@@ -187,14 +188,16 @@ def _statistics(df: DataFrame, extra: list[str]) -> DataFrame:
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Trees:
     """Trees for the labels, of which at most max_train are used."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    some = known.orderBy(digest_int(F.col("id").cast("string")), "id", "y").limit(max_train)
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = texts.join(F.broadcast(some), "id")  # max_train rows of two numbers at most
-    found = _statistics(joined, ["id", "y"]).limit(2 * max_train).toPandas()
+    known = labels.where(named(id_col).isNotNull() & named(label_col).isNotNull()).select(named(id_col).alias("id"), named(label_col).cast("int").alias("y"))
+    some = known.orderBy(digest_int(F.col("id").cast("string")), "id", "y").limit(max_train).groupBy("id", "y").agg(F.count("*").alias("n"))
+    texts = df.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    joined = texts.join(F.broadcast(some), "id")  # max_train rows of three numbers at most
+    one = _statistics(joined, ["id", "y", "n"]).groupBy("id", "y", "n").agg(F.min("x").alias("x"))  # as many rows as some has, combined before the shuffle
+    found = one.toPandas()
     rows = np.array(found["x"].tolist(), dtype=float).reshape(len(found), len(FEATURES))
-    label = found["y"].to_numpy(dtype=float)
+    label, often = found["y"].to_numpy(dtype=float), found["n"].to_numpy(dtype=np.int64)
     order = np.lexsort((*rows.T[::-1], label, found["id"].to_numpy())) if len(found) else np.zeros(0, np.int64)
+    order = np.repeat(order, often[order])
     return train(rows[order], (label[order] > 0).astype(float))
 
 
@@ -206,7 +209,7 @@ def score(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "
             s = trees.score(statistics(Texts.of(b.column(1))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array(s >= cut)], ["id", "score", "keep"])
 
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = df.select(named(id_col).alias("id"), named(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {kind}, score double, keep boolean").withColumnRenamed("id", id_col)
 
