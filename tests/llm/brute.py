@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import struct
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -13,6 +14,7 @@ import pyarrow as pa
 
 from loomgraph.llm import op2_secret_scan as op2
 from loomgraph.llm import op5_simhash as op5
+from loomgraph.llm import op10_quality_classifier as op10
 from loomgraph.llm.kernels import Texts
 from loomgraph.llm.vocabulary import DEFAULT_MODEL, SPACE, Vocabulary
 
@@ -32,15 +34,36 @@ def encode(text: str) -> list[int]:
     return unigram().encode(SPACE + text.replace(" ", SPACE), add_special_tokens=False).ids if text else []
 
 
+def model_file(pieces: list[tuple[str, float, int]], prefix: bool = True, squeeze: bool = False, rules: bytes = b"", behind: bool = False, byte_pieces: bool = False) -> bytes:
+    """A unigram model for the SentencePiece library, field by field: (piece, score, kind); kind 1 normal, 2 unknown, 6 byte."""
+
+    def number(n: int) -> bytes:
+        out = b""
+        while n > 127:
+            out += bytes([n & 127 | 128])
+            n >>= 7
+        return out + bytes([n])
+
+    part = lambda field, data: number(field << 3 | 2) + number(len(data)) + data
+    whole = lambda field, n: number(field << 3) + number(n)
+    out = b""
+    for piece, score, kind in pieces:
+        out += part(1, part(1, piece.encode()) + number(2 << 3 | 5) + struct.pack("<f", score) + whole(3, kind))
+    out += part(2, whole(3, 1) + whole(24, int(behind)) + whole(35, int(byte_pieces)))
+    return out + part(3, part(1, b"identity") + part(2, rules) + whole(3, int(prefix)) + whole(4, int(squeeze)) + whole(5, 1))
+
+
 def repeats(text: str | None, min_words: int, long_word: int = 64) -> tuple[float, int]:
     """Covered fraction and longest repeat, from the common prefixes of all pairs of positions."""
     text = text or ""
-    words = []
+    words, weight = [], []  # six bytes of a long run weigh as much as a word
     for m in re.finditer(r"[^\x00-\x20]+", text):
         if len(m[0].encode()) > long_word:
             words += [(c, m.start() + i) for i, c in enumerate(m[0])]
+            weight += [len(c.encode()) for c in m[0]]
         else:
             words.append((m[0], m.start()))
+            weight.append(6)
     n = len(words)
     longest = [0] * n
     below = [0] * (n + 1)
@@ -53,7 +76,7 @@ def repeats(text: str | None, min_words: int, long_word: int = 64) -> tuple[floa
         below = row
     covered, most = set(), 0
     for i, k in enumerate(longest):
-        if k >= min_words:
+        if k and sum(weight[i : i + k]) >= 6 * min_words:
             covered |= set(range(i, i + k))
             word, at = words[i + k - 1]
             most = max(most, at + len(word) - words[i][1])
@@ -174,6 +197,65 @@ def secrets(docs: list[tuple], alpha: float = op2.ALPHA) -> set[tuple]:
     return out
 
 
+def trees(rows: np.ndarray, label: np.ndarray, trees: int, depth: int, bins: int) -> tuple[float, list]:
+    """(base, nested trees) grown by trying each bin border as a split of each node, row by row."""
+    n, width = rows.shape
+    base = math.log((label.sum() + 0.5) / (n - label.sum() + 0.5))
+    edges = [np.unique(np.quantile(rows[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(width)]
+    margin = [base] * n
+
+    def grow(own: list[int], g: list, h: list, deep: int):
+        gs, hs = sum(g[i] for i in own), sum(h[i] for i in own)
+        leaf = -op10.RATE * gs / (hs + op10.RIDGE)
+        best, split = 1e-6, None
+        if deep < depth:
+            for f in range(width):
+                for cut in edges[f]:
+                    left = [i for i in own if rows[i, f] <= cut]
+                    gl, hl = sum(g[i] for i in left), sum(h[i] for i in left)
+                    if min(hl, hs - hl) < op10.MIN_HESSIAN:
+                        continue
+                    gain = gl**2 / (hl + op10.RIDGE) + (gs - gl) ** 2 / (hs - hl + op10.RIDGE) - gs**2 / (hs + op10.RIDGE)
+                    if gain > best + 1e-12:
+                        best, split = gain, (f, float(cut))
+        if split is None:
+            return leaf
+        f, cut = split
+        return f, cut, grow([i for i in own if rows[i, f] <= cut], g, h, deep + 1), grow([i for i in own if rows[i, f] > cut], g, h, deep + 1)
+
+    out = []
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        out.append(grow(list(range(n)), [a - b for a, b in zip(p, label)], [a * (1 - a) for a in p], 0))
+        margin = [m + leaf_of(out[-1], x) for m, x in zip(margin, rows)]
+    return base, out
+
+
+def leaf_of(node, row) -> float:
+    while isinstance(node, tuple):
+        node = node[2] if row[node[0]] <= node[1] else node[3]
+    return node
+
+
+def statistics(text: str | None) -> dict[str, float]:
+    """The statistics of a document, one by one, by the definitions of op10.FEATURES; over bytes."""
+    data = (text or "").encode()
+    words = re.findall(rb"[^\x00-\x20]+", data)
+    marks, size, many = b".,;:!?'\"()-", max(1, len(data)), max(1, len(words))
+    letter = lambda b: b >= 128 or chr(b).isalpha()
+    symbol = lambda b: 32 < b < 127 and not chr(b).isalnum() and b not in marks
+    share = lambda test: sum(map(test, data)) / size
+    times = Counter(words)
+    return {
+        "log_chars": math.log1p(len(data)), "log_words": math.log1p(len(words)), "mean_word": sum(map(len, words)) / many, "wide_words": sum(len(w) > 20 for w in words) / many,
+        "letters": share(letter), "upper": share(lambda b: 65 <= b <= 90), "digits": share(lambda b: 48 <= b <= 57), "spaces": share(lambda b: b in b" \t\r\x0b\x0c"),
+        "marks": share(lambda b: b in marks), "symbols": share(symbol), "not_ascii": share(lambda b: b >= 128), "lines": share(lambda b: b == 10),
+        "entropy": -sum(k / size * math.log2(k / size) for k in Counter(data).values()), "distinct_words": len(times) / many, "top_word": max(times.values(), default=0) / many,
+        "same_as_before": sum(a == b for a, b in zip(words, words[1:])) / many, "bare_words": sum(not any(map(letter, w)) for w in words) / many,
+        "ends_marked": sum(w[-1] in marks or symbol(w[-1]) for w in words) / many, "mean_line": math.log1p(len(data) / (data.count(b"\n") + 1)),
+    }
+
+
 def prose(rng: np.random.Generator, words: int, vocabulary: int = 4000) -> str:
     """Words of Zipfian frequency, in sentences."""
     stems = ["ka", "lo", "ri", "men", "to", "su", "pa", "ne", "ver", "il", "dos", "cha"]

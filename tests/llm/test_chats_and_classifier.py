@@ -11,6 +11,8 @@ from loomgraph.llm import op10_quality_classifier as op10
 from loomgraph.llm.kernels import Texts
 from tests.compare import assert_same
 
+from .brute import leaf_of, prose, statistics, trees
+
 SF = "/root/testdata/sf0.1"
 
 CHATS = [
@@ -64,6 +66,42 @@ def test_another_template(spark):
     assert [(r.text, r.loss) for r in op6.format_chats(df, plain).orderBy("segment").collect()] == [("[", False), ("x", False), ("]", False), ("[", False), ("y", True), ("]", False)]
 
 
+def test_roles_are_filled_in_everywhere(spark):
+    both = op6.Template({"s": {"q": "a"}, "a": {"r": "s"}}, "s", ("s",), "<{role}>{role}:", "</{role}>", ("r",))
+    df = spark.createDataFrame([(1, 0, "q", "{role}"), (1, 1, "r", "y")], "conv_id int, turn int, role string, text string")
+    parts = op6.format_chats(df, both).orderBy("segment").collect()
+    assert "".join(r.text for r in parts) == "<q>q:{role}</q><r>r:y</r>"
+    odd = df.selectExpr("conv_id AS `a.b`", "turn AS `t.t`", "role", "text")
+    assert op6.format_chats(odd, both, conv_col="a.b", turn_col="t.t").count() == 6
+
+
+def test_trees_equal_plain_ones():
+    rng = np.random.default_rng(18)
+    x = np.round(rng.normal(size=(90, 3)), 1)  # ties
+    y = ((x[:, 0] + x[:, 2] > 0.2) ^ (rng.random(90) < 0.1)).astype(float)
+    base, plain = trees(x, y, 4, 3, 8)
+    found = op10.train(x, y, trees=4, depth=3, bins=8)
+    want = [1 / (1 + np.exp(-(base + sum(leaf_of(t, row) for t in plain)))) for row in x]
+    assert np.allclose(found.score(x), want)
+
+
+def test_statistics_equal_plain_ones():
+    own = [None, "", " ", "a b c.", "ÄÖ\n123 !!  x--y", "x" * 5000, "word " * 300, "\n\n", "Ein ein Ein, [x] {y}\tz 42 42 42", prose(np.random.default_rng(19), 300)]
+    for text, row in zip(own, op10.statistics(Texts.of(pa.array(own)))):
+        assert dict(zip(op10.FEATURES, row)) == pytest.approx(statistics(text)), text
+
+
+def test_training_rows_are_bounded_and_the_same_in_any_order(spark):
+    rng = np.random.default_rng(20)
+    docs = [(i, prose(rng, 20 + i % 50), k) for i in range(60) for k in range(8)]  # each labelled document eight times, with other texts
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 1)], "doc_id bigint, quality int")
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, k int")
+    fits = [op10.fit(df.repartition(n).sortWithinPartitions(how), labels, max_train=40) for n, how in ((1, "k"), (5, "text"))]
+    assert (fits[0].feature == fits[1].feature).all() and np.allclose(fits[0].value, fits[1].value) and fits[0].base == fits[1].base
+    n = op10.fit(df, labels.where("doc_id < 10"), max_train=40)
+    assert n.base == pytest.approx(np.log(6.5 / 5.5))  # eleven labels, six of them 1
+
+
 def test_flat_trees_equal_a_plain_walk_and_the_first_split_is_the_best():
     rng = np.random.default_rng(12)
     x = rng.normal(size=(600, 4))

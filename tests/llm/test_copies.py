@@ -5,7 +5,7 @@ import pyarrow as pa
 
 from loomgraph.llm import op5_simhash as op5
 from loomgraph.llm import op9_exact_dedup as op9
-from loomgraph.llm.kernels import Texts, Words, hashes
+from loomgraph.llm.kernels import Texts, Words, hashes, mix
 
 from .brute import near_copies, prose
 
@@ -27,6 +27,14 @@ def corpus(rng: np.random.Generator) -> tuple[list, dict]:
 def test_fingerprints_are_majorities_of_word_hashes():
     text = "Der Käfer, der KÄFER und die 3 Mäuse"
     words = ["der", "käfer", "der", "käfer", "und", "die", "3", "mäuse"]
+    hashed = lambda w: hashes(d := np.frombuffer(w.encode(), np.uint8), Words(np.array([0]), np.array([len(d)]), np.array([0])))
+    other = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        each = [hashed(w) for w in words]
+        once = [mix((h >> np.uint64(20)) + np.uint64(1)) for h in {int(h[0]): h for h in each}.values()]
+        lists = [each, [mix(h + other) for h in each], once, [mix(h + other) for h in once]]
+    wanted = [sum(1 << k for k in range(64) if 2 * sum(int(h[0]) >> k & 1 for h in own) > len(own)) for own in lists]
+    assert op5.fingerprints(Texts.of(pa.array([text])))[1].tolist() == [wanted]
     own = [int(hashes(d := np.frombuffer(w.encode(), np.uint8), Words(np.array([0]), np.array([len(d)]), np.array([0])))[0]) for w in words]
     want = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in own) > len(own))
     doc, f = op5.fingerprints(Texts.of(pa.array([None, "", "?!", text, "other"])))
@@ -61,6 +69,51 @@ def test_shards_lose_no_pair():
                 assert any(a in x and b in x and k in (home[a], home[b]) for k, x in enumerate(at))
 
 
+def test_slices_of_a_shard_lose_no_pair(spark, monkeypatch):
+    """Small bounds give many shards and slices; groups are those of all pairs."""
+    monkeypatch.setattr(op5, "SHARD_POINTS", 40)
+    monkeypatch.setattr(op5, "TASK_ROWS", 30)
+    docs, _ = corpus(np.random.default_rng(21))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: r.duplicate_of for r in op5.near_copies(df, shards=2).collect()} == near_copies(docs)
+    rng = np.random.default_rng(22)
+    points = rng.integers(0, 2**16, 500, dtype=np.uint64)
+    plan = op5.Plan(points[::3], 500, 3, 2)
+    assert len(plan.shards) >= 12 and plan.slices.max() > 1 and plan.end == plan.slices.sum() == len(plan.slice_of())
+    node = np.arange(500)
+    i, task, asks = plan.place(points, node, 3)
+    met = set()
+    for k, (part, of) in enumerate(plan.slice_of()):
+        own, other = i[(task == k) & (asks == 0)], i[(task == k) & (asks == 1)]
+        met |= {frozenset((int(a), int(b))) for a in own for b in own if a % of == part} | {frozenset((int(a), int(b))) for a in own for b in other}
+    assert all(frozenset((a, b)) in met for a in range(500) for b in range(a) if (int(points[a]) ^ int(points[b])).bit_count() <= 3)
+
+
+def test_rows_sent_for_a_point_are_bounded():
+    """Uniform fingerprints, the worst case: rows sent grow with the shards, which grow only with what a task can't hold."""
+    points = np.random.default_rng(23).integers(0, 2**63, 20_000, dtype=np.uint64)
+    sent = {}
+    for shards in (24, 240, 2400):
+        plan = op5.Plan(points, 0, op5.RADIUS, shards)
+        sent[len(plan.shards)] = plan.sent
+    print("rows sent for each point, by shards of a tree:", sent)
+    assert all(n <= 0.6 * shards for shards, n in sent.items())
+    for total in (10**4, 10**6, 4 * 10**7):  # about 100 GB of documents: still the least number of shards
+        plan = op5.Plan(points, total, op5.RADIUS)
+        assert len(plan.shards) <= 40 and plan.sent <= 20
+    assert len(op5.Plan(points, 10**9, op5.RADIUS).shards) <= 1000
+
+
+def test_ids_of_other_types(spark):
+    docs, _ = corpus(np.random.default_rng(24))
+    own = [(f"d{i:04d}", t) for i, t in docs[:60]]
+    df = spark.createDataFrame(own, "`my.id` string, text string")
+    found = {r.doc_id: r.duplicate_of for r in op5.near_copies(df, id_col="my.id").collect()}
+    assert found == {f"d{a:04d}": f"d{b:04d}" for a, b in near_copies(docs[:60]).items()} and found
+    kept = op5.drop_near_copies(df, id_col="my.id")
+    assert kept.columns == df.columns and sorted(r[0] for r in kept.collect()) == sorted(i for i, _ in own if i not in found)
+
+
 def test_near_copies_equal_brute_force_and_hold_the_planted(spark):
     docs, planted = corpus(np.random.default_rng(8))
     docs += [(1000, None), (1001, ""), (None, docs[0][1]), docs[3], (2000, docs[3][1]), (2001, "日本語" * 90), (2002, "日本語" * 90 + "だ"), (2003, "one"), (2004, "one")]
@@ -130,6 +183,16 @@ def test_exact_dedup(spark):
     assert [i for i, _ in alone] == [1, 4]
 
 
+def test_exact_dedup_carries_columns_without_an_order(spark):
+    rows = [(1, "a", {"x": 1}, 2), (1, "a", {"x": 0}, 2), (2, "a", None, 1), (3, None, {"y": 1}, 1), (3, None, {"y": 1}, 1), (None, "b", {}, None)]
+    df = spark.createDataFrame(rows, "`doc.id` bigint, text string, m map<string,int>, s int").repartition(4)
+    wide = df.selectExpr("*", "struct(m, s) AS n", "array(m) AS l")
+    kept = op9.exact_dedup(wide, id_col="doc.id")
+    assert kept.schema.simpleString() == wide.schema.simpleString()
+    assert sorted(((r[0], r[1], r[2], r[3]) for r in kept.collect()), key=str) == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
+    assert op9.exact_dedup(wide.limit(0), id_col="doc.id").count() == 0
+
+
 def test_texts_with_one_digest_both_stay(spark, monkeypatch):
     from pyspark.sql import functions as F
 

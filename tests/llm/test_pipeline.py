@@ -1,5 +1,6 @@
 """Each stage of the pipeline against a plain version, odd rows for every operator, and the registry."""
 
+import os
 from collections import Counter
 from pathlib import Path
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomgraph.llm import op1_token_counts, op2_secret_scan, op4_mixing, op5_simhash, op7_sentencepiece, op8_quality_rules, op9_exact_dedup, queries
+from loomgraph.llm.common import shared_dir
 from tests.compare import assert_same
 
 from .brute import encode, mixing, near_copies, prose, repeats
@@ -47,8 +49,10 @@ def test_stages_equal_brute_force(spark, tmp_path):
     mixed = [d for d, (_, _, n) in zip(apart, mixing([(d[0], d[1], d[3]) for d in apart], op4_mixing.FLATTEN)) for _ in range(n)]
     assert len(mixed) > len(apart)
     want = Counter((d[0], None if d[1] is None else tuple(encode(d[1])), None if d[1] is None else True) for d in mixed)
+    before = left(spark)
     got = Counter((r.doc_id, None if r.ids is None else tuple(r.ids), r.lossless) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == want
+    assert [x.rsplit("-", 1)[1] for x in left(spark) - before] == ["mixing"]  # just what the lazy result reads
     now = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for (name, stage), rows in zip(corpus_pipeline.STAGES[:-1], (kept, unlike, apart, mixed)):
         out = stage(spark, now, str(tmp_path))
@@ -57,6 +61,11 @@ def test_stages_equal_brute_force(spark, tmp_path):
         now = spark.createDataFrame(out.collect(), out.schema)
 
 
+def left(spark) -> set:
+    """Tables in the shared folder."""
+    return {x for x in os.listdir(shared_dir(spark)) if x.startswith(("loomgraph-", "scratch-", "pipeline-"))}
+
+
 def odd(spark):
     rows = [(i, t, None if i == 3 else "en", s, None) for i, t in [(1, "a b c"), (2, ""), (3, None), (None, "no id"), (None, None), (4, "x" * 200_000), (5, "w " * 60_000), (1, "a b c")] for s in ("web", None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")

@@ -64,7 +64,9 @@ def key(r):
     return str(r[0]), round(r[1], 6)
 
 
-def test_rates_equal_bisection_and_meet_the_targets(spark):
+@pytest.mark.parametrize("few", [op4.FEW, 1])
+def test_rates_equal_bisection_and_meet_the_targets(spark, monkeypatch, few):
+    monkeypatch.setattr(op4, "FEW", few)  # with 1, the way of very many sources
     docs = documents()
     df = spark.createDataFrame(docs, "doc_id bigint, text string, source string").repartition(3)
     found = sorted([tuple(r) for r in op4.copies(df).collect()], key=key)
@@ -76,7 +78,8 @@ def test_rates_equal_bisection_and_meet_the_targets(spark):
     for i, rate, _ in found:
         got[text[i][2]] += rate * tokens_of(text[i][1])
         have[text[i][2]] += tokens_of(text[i][1])
-    goal = op4.targets(dict(have), None, None, op4.FLATTEN)
+    weight = {s: (h / sum(have.values())) ** op4.FLATTEN for s, h in have.items() if h}
+    goal = {s: max(have[x] / weight[x] for x in weight) * w for s, w in weight.items()}
     assert all(got[s] == pytest.approx(goal[s], rel=1e-6) for s in goal)
     assert all(r[1] >= 1 - 1e-9 for r in found)  # no document is lost
     assert sum(r[2] for r in found) == pytest.approx(sum(r[1] for r in found), rel=0.05)
@@ -91,11 +94,27 @@ def test_given_weights(spark):
     assert found[1000] == 1 and found[1001] == 1  # without tokens
 
 
+def test_targets_however_far_are_met_or_refused(spark, monkeypatch):
+    docs = [(1, "one", "tiny"), *[(k, "x " * (k % 7 * 900 + 1), "big") for k in range(2, 60)]]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    for weights, total in (({"tiny": 1, "big": 1e-9}, 1e12), ({"tiny": 1, "big": 1}, 1e-30), ({"tiny": 1e-200, "big": 1}, 3e5)):
+        whole = sum(weights.values())
+        got = defaultdict(float)
+        for r in op4.copies(df, weights, total).collect():
+            got[docs[r.doc_id - 1][2]] += r.rate * tokens_of(docs[r.doc_id - 1][1])
+        for s, w in weights.items():
+            assert got[s] == pytest.approx(total * w / whole, rel=1e-6), (s, total)
+    monkeypatch.setattr(op4, "ITERATIONS", 2)
+    with pytest.raises(RuntimeError, match="2 steps"):
+        op4.copies(df, {"tiny": 1, "big": 1}, 1e7)
+
+
 def test_mix_repeats_rows_and_keeps_odd_columns(spark):
     docs = [(*d, k) for k, d in enumerate(documents())]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, source string, n int").selectExpr("doc_id", "text", "source", "n AS rate", "n AS `row`", "n AS `__copies`", "n AS copies", "n AS `a.b`")
     out = op4.mix(df)
     assert out.columns == df.columns
+    assert op4.mix(df.withColumnRenamed("doc_id", "my.id").withColumnRenamed("text", "t.x"), id_col="my.id", text_col="t.x").count() == out.count()
     got = Counter(r["row"] for r in out.select("row").collect())
     assert [got[k] for k in range(len(docs))] == [n for _, _, n in mixing([d[:3] for d in docs], op4.FLATTEN)]
     assert op4.mix(df.limit(0)).count() == 0 and op4.copies(df.limit(0)).count() == 0

@@ -29,6 +29,40 @@ def test_repeats_equal_brute_force(least):
         assert (pytest.approx(c), k) == repeats(t, least), (t or "")[:60]
 
 
+def test_a_long_word_is_judged_as_one_just_short_of_it():
+    plain = prose(np.random.default_rng(15), 60)
+    for size in (63, 64, 65, 66, 80):  # crosses LONG_WORD
+        link = "https://example.org/" + "".join(np.random.default_rng(size).choice(list("abcdefghij"), size - 20))
+        covered, short, longest = op8.measure_all(Texts.of(pa.array([f"{link} {plain} {link}"])))
+        assert covered[0] == 0 == longest[0] and short[0] < 0.2, size
+
+
+def test_common_prefixes_equal_a_plain_comparison():
+    rng = np.random.default_rng(16)
+    tokens = rng.integers(0, 2, 400).astype(np.uint64)
+    tokens[200:] = tokens[:200]
+    parity = np.array([bin(k).count("1") & 1 for k in range(1 << 13)], dtype=np.uint64)  # equal hashes modulo a power of two
+    for own, pairs in ((tokens, rng.integers(0, 400, (500, 2))), (parity, np.array([[0, 1 << 12], [1 << 11, 3 << 11], [5, 77]]))):
+        a, b = pairs[pairs[:, 0] != pairs[:, 1]].T
+        equal = own[a] == own[b]
+        a, b = a[equal], b[equal]
+        n = len(own)
+        want = [next((k for k in range(n - max(i, j)) if own[i + k] != own[j + k]), n - max(i, j)) for i, j in zip(a.tolist(), b.tolist())]
+        assert op8._common(own, np.full(len(a), n), a, b).tolist() == want
+
+
+def test_memory_of_a_long_text_does_not_grow_with_its_repeats():
+    import tracemalloc
+
+    words = [f"w{k}" for k in np.random.default_rng(17).integers(0, 5000, 100_000)]
+    texts = Texts.of(pa.array([" ".join(words + words)]))
+    tracemalloc.start()
+    op8.measure_all(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 * 200_000, peak  # bytes a word; with the ranks of each doubling kept it were more for each doubling
+
+
 def test_judgement_and_kept_rows_agree(spark):
     own = [*enumerate(texts()), (None, "a " * 100), (5, "ab" * 200)]
     df = spark.createDataFrame([(i, t, "k") for i, t in own], "doc_id bigint, text string, keep string")
@@ -96,6 +130,19 @@ def test_secrets_equal_brute_force_and_are_those_hidden(spark):
     assert sum(r.doc_id == docs[5][0] for r in rows) == 2  # a repeated row is scanned twice
 
 
+def test_binomial_tails_agree_and_hold_little():
+    for n in (30, op2.TABLE - 1):
+        for rate in (0.02, 0.3, 0.9):
+            low, high = op2._tails(n, rate)
+            for k in range(0, n + 1, 7):
+                assert high[k] == pytest.approx(1.0 if k == 0 else op2._beta(k, n - k + 1, rate), rel=1e-8, abs=1e-290)
+                assert low[k] == pytest.approx(1.0 if k == n else op2._beta(n - k, k + 1, 1 - rate), rel=1e-8, abs=1e-290)
+    before = op2._tails.cache_info().currsize
+    assert all(0 <= op2.tail(n, 0.4, int(n * 0.4), up) <= 1 for n in range(20_000, 23_000, 100) for up in (False, True))
+    assert op2._tails.cache_info().currsize == before  # long runs have no table
+    assert op2.tail(50_000, 0.4, 20_000, True) == pytest.approx(0.5, abs=0.01)
+
+
 def test_a_pair_is_not_counted_across_documents():
     n = op2.pairs(Texts.of(pa.array(["ab", "c d", None, "", "ex", "x", "y" * 20, "zz"])))
     assert {divmod(int(k), 256) for k in n.nonzero()[0]} == {(97, 98), (101, 120), (122, 122)} and n.sum() == 3

@@ -1,13 +1,15 @@
 """Token counts, encoding and decoding, against another library's unigram decoder."""
 
+import time
+
 import numpy as np
 import pytest
 
 from loomgraph.llm import op1_token_counts as op1
 from loomgraph.llm import op7_sentencepiece as op7
-from loomgraph.llm.vocabulary import Vocabulary, marked, segments
+from loomgraph.llm.vocabulary import Vocabulary, check_settings, marked, segments
 
-from .brute import encode, prose
+from .brute import encode, model_file, prose
 
 TEXTS = [
     "", " ", "  two  spaces ", "Hello world", "l'été à Paris, où es-tu?", "日本語のテキスト です", "a\nb\n\n  c\td", "emoji 🦊🦊 and \x00 zero", "x" * 500,
@@ -30,11 +32,77 @@ def test_a_stream_in_parts_gives_the_same_and_forgets():
     codec = op7.codec(op7.DEFAULT_MODEL)
     text = marked(prose(np.random.default_rng(2), 4000))
     for size in (1, 7, 1000):
-        stream, out = op7.Stream(codec), []
+        stream, out = op7.Stream(codec), b""
         for i in range(0, len(text), size):
             out += stream.feed(text[i : i + size])
-        assert out + stream.close() == encode(text[1:].replace("▁", " "))
-        assert stream.widest < 8 * codec.vocabulary.longest + size
+        assert np.frombuffer(out + stream.close(), np.int32).tolist() == encode(text[1:].replace("▁", " "))
+        assert stream.widest < 8 * codec.vocabulary.longest + min(size, op7.BLOCK)
+
+
+def letters(n: int) -> str:
+    return "".join(np.random.default_rng(n).choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+
+
+@pytest.mark.parametrize("text", [letters(200_000), "日本語のテキスト" * 20_000, "x" * 100_000 + "🦊" * 3000 + "ab" * 5000], ids=["letters", "japanese", "odd"])
+def test_text_without_spaces_is_searched_in_a_window(text):
+    codec = op7.codec(op7.DEFAULT_MODEL)
+    want = encode(text)
+    assert codec.encode(text) == want and op1.counter(op1.DEFAULT_MODEL).count(text) == len(want)
+    stream = op7.Stream(codec)
+    whole = stream.feed(marked(text)) + stream.close()  # as one part
+    assert np.frombuffer(whole, np.int32).tolist() == want
+    assert stream.widest < 8 * codec.vocabulary.longest + op7.BLOCK and len(stream.best) == 1
+
+
+def test_time_is_in_proportion_to_text_without_spaces():
+    codec, counter = op7.codec(op7.DEFAULT_MODEL), op1.counter(op1.DEFAULT_MODEL)
+    for run in (codec.encode_bytes, counter.count):
+        took = {}
+        for n in (200_000, 400_000):
+            text = letters(n)
+            took[n] = min(timed(run, text) for _ in range(3))
+        assert took[400_000] < 2.3 * took[200_000] + 0.05, took
+
+
+def timed(run, text: str) -> float:
+    began = time.process_time()
+    run(text)
+    return time.process_time() - began
+
+
+def test_paths_that_never_meet_take_linear_time_too():
+    v = Vocabulary([("<unk>", 0, "other"), ("▁", -1.0, "normal"), ("a", -9.0, "normal"), ("b", -9.0, "normal"), ("ab", -1.0, "normal"), ("ba", -1.0, "normal")])
+    codec = op7.Codec(v)
+    took = {n: min(timed(codec.encode_bytes, "ab" * n) for _ in range(3)) for n in (50_000, 100_000)}
+    assert took[100_000] < 2.3 * took[50_000] + 0.05
+    assert codec.encode("ab" * 5000) == [1] + [4] * 5000
+
+
+PIECES = [("<unk>", 0.0, 2), ("▁", -2.0, 1), ("a", -3.0, 1), ("b", -3.5, 1), ("ab", -4.0, 1), ("▁a", -4.5, 1), ("bba", -6.0, 1), ("é", -5.0, 1), ("aa", -6.0, 1)]
+
+
+@pytest.mark.parametrize("byte_pieces", [False, True])
+def test_a_unigram_file_gives_the_ids_of_its_own_library(tmp_path, byte_pieces):
+    import sentencepiece
+
+    pieces = PIECES + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256) if byte_pieces]
+    (tmp_path / "m.model").write_bytes(model_file(pieces, byte_pieces=byte_pieces))
+    library = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model"))
+    v = Vocabulary.load(str(tmp_path / "m.model"))
+    codec, counter = op7.Codec(v), op1.Counter(v)
+    rng = np.random.default_rng(14)
+    texts = ["bxxab", "xx xx", "x\nx", "🦊🦊 a🦊", "x" * 3000, "ab" * 900 + "xyz" * 500] + ["".join(rng.choice(list("aabbé x\n🦊"), int(k))) for k in rng.integers(1, 200, 80)]
+    for text in texts:
+        want = library.encode(text)
+        assert codec.encode(text) == want and counter.count(text) == len(want), text[:60]
+
+
+def test_models_that_change_the_text_are_refused(tmp_path):
+    for asks in ({"prefix": False}, {"squeeze": True}, {"rules": b"x"}, {"behind": True}):
+        (tmp_path / "m.model").write_bytes(model_file(PIECES, **asks))
+        with pytest.raises(ValueError, match="the model asks for"):
+            check_settings((tmp_path / "m.model").read_bytes())
+    check_settings(model_file(PIECES))
 
 
 @pytest.mark.parametrize("cuts", [True, False])
