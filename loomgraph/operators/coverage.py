@@ -4,24 +4,34 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def innermost(points: DataFrame, intervals: DataFrame, key: str, at: str, begin: str = "line_start", end: str = "line_end", tie: str = "id") -> DataFrame:
+#: Lines of a cell, as a power of two; an interval is sent to each cell that it reaches into.
+CELL = 8
+
+
+def innermost(points: DataFrame, intervals: DataFrame, key: str, at: str, begin: str = "line_start", end: str = "line_end", tie: str = "id", ids: tuple[str, ...] = ("point_id",)) -> DataFrame:
     """Each point of points with the smallest interval of its key that holds it; nulls where none does.
 
-    points need a column point_id that tells them apart. Of equal spans the one that begins first
-    wins, then the least tie. An equality join on the key with the range as a residual: a hot key
-    is split by adaptive execution, and the choice combines on the map side, without a sort.
+    ids are columns that tell the points of a key apart. Of equal spans the interval that begins first
+    wins, then the least tie. Points and intervals meet by key and cell of lines, so a key with very
+    many of both is spread over its cells, and points are shuffled once: the choice among a point's
+    intervals is made where they meet.
     """
-    span = (F.col(end) - F.col(begin)).alias("span")
-    held = intervals.select(F.col(key).alias("__key"), F.struct(span, F.col(begin).alias("b"), F.col(tie).alias("t")).alias("__order"), F.struct(*intervals.columns).alias("__interval"), F.col(begin).alias("__from"), F.col(end).alias("__to"))
-    inside = (points[key] == held["__key"]) & points[at].between(held["__from"], held["__to"])
-    best = points.select("point_id", key, at).join(held, inside).groupBy("point_id").agg(F.min_by("__interval", "__order").alias("__interval"))
-    wide = points.join(best, "point_id", "left")
+    order = F.struct((F.col(end) - F.col(begin)).alias("span"), F.col(begin).alias("b"), F.col(tie).alias("t"))
+    cells = F.sequence(F.shiftright(begin, CELL), F.shiftright(end, CELL))
+    held = intervals.where(F.col(begin) <= F.col(end)).select(
+        F.col(key).alias("__key"), F.explode(cells).alias("__of"), order.alias("__order"), F.struct(*intervals.columns).alias("__interval"), F.col(begin).alias("__from"), F.col(end).alias("__to")
+    )
+    inside = (F.col(key) == F.col("__key")) & (F.col("__cell") == F.col("__of")) & F.col(at).between(F.col("__from"), F.col("__to"))
+    met = points.withColumn("__cell", F.shiftright(at, CELL)).join(held, inside, "left")
+    same = [key, "__cell", *[c for c in ids if c != key]]
+    rest = [c for c in points.columns if c not in same]
+    best = met.groupBy(*same).agg(F.min_by("__interval", "__order").alias("__interval"), *[F.any_value(c).alias(c) for c in rest])
     others = [c for c in intervals.columns if c not in points.columns]
-    return wide.select(*points.columns, F.col("__interval").isNotNull().alias("matched"), *[F.col(f"__interval.{c}").alias(c) for c in others])
+    return best.select(*points.columns, F.col("__interval").isNotNull().alias("matched"), *[F.col(f"__interval.{c}").alias(c) for c in others])
 
 
 @dataclass
@@ -44,11 +54,14 @@ def normalise(rows: DataFrame, root: str) -> DataFrame:
 
 
 def attribute(statements: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Coverage rows of the symbols that own statements: each statement counts, repeated lines too."""
-    points = statements.withColumn("point_id", F.monotonically_increasing_id())
-    owned = innermost(points, symbols.select("id", "file_path", "name", "line_start", "line_end"), "file_path", "line").where("matched")
-    hits = owned.groupBy("file_path", "name", "line_start").agg(F.sum(F.when(F.col("hit_count") > 0, 1).otherwise(0)).alias("hit_statements"), F.count("*").alias("total_statements"))
-    share = F.when(F.col("total_statements") > 0, F.col("hit_statements") * F.lit(100.0).cast("double") / F.col("total_statements"))
+    """Coverage rows of the symbols that own statements: each statement counts, repeated lines too.
+
+    Statements of one line have one owner, so they are counted by line first.
+    """
+    lines = statements.groupBy("file_path", "line").agg(F.sum(F.when(F.col("hit_count") > 0, 1).otherwise(0)).alias("hit"), F.count("*").alias("all"))
+    owned = innermost(lines, symbols.select("file_path", "name", "line_start", "line_end", F.struct("id", "name").alias("own")), "file_path", "line", tie="own", ids=("line",)).where("matched")
+    hits = owned.groupBy("file_path", "name", "line_start").agg(F.sum("hit").alias("hit_statements"), F.sum("all").alias("total_statements"))
+    share = F.col("hit_statements") * F.lit(100.0) / F.col("total_statements")
     return hits.select("file_path", "name", "line_start", share.alias("coverage_pct"), "hit_statements", "total_statements")
 
 

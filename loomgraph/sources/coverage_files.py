@@ -6,8 +6,9 @@ import glob
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,15 +44,35 @@ def from_statements(texts: DataFrame) -> DataFrame:
 
 def from_lcov(texts: DataFrame) -> DataFrame:
     """texts: (value). DA lines belong to the SF before them; one outside of a record is an error."""
-    lines = texts.select(F.monotonically_increasing_id().alias("doc"), F.posexplode(F.split("value", "\r?\n")).alias("n", "text")).withColumn("text", F.trim("text"))
-    tagged = lines.where(F.col("text").startswith("SF:") | F.col("text").startswith("DA:") | (F.col("text") == "end_of_record"))
-    source = F.when(F.col("text").startswith("SF:"), F.trim(F.substring("text", 4, 1 << 20))).when(F.col("text") == "end_of_record", "")
-    w = Window.partitionBy("doc").orderBy("n")
-    known = tagged.withColumn("file", F.last(source, True).over(w)).where(F.col("text").startswith("DA:"))
-    parts = F.split(F.substring("text", 4, 1 << 20), ",")
-    orphan = F.col("file").isNull() | (F.col("file") == "")
-    path = F.when(orphan, F.raise_error(F.concat(F.lit("DA outside of a record, line "), F.col("n") + 1)).cast("string")).otherwise(F.col("file"))
-    return known.select(path.alias("file_path"), F.try_to_number(parts[0], F.lit("9999999999")).cast("int").alias("line"), F.try_to_number(parts[1], F.lit("999999999999")).cast("bigint").alias("hit_count")).where("line IS NOT NULL AND hit_count IS NOT NULL")
+    parts = texts.select(F.posexplode(F.split("value", r"(?m)^[ \t]*SF:")).alias("part", "text"))  # the first is what precedes any record
+    lines = parts.select("part", F.transform(F.split("text", "\r?\n"), lambda x: F.trim(x)).alias("lines"))
+    ended = F.array_position("lines", "end_of_record").alias("ended")
+    each = lines.select("part", F.when(F.col("part") > 0, F.get("lines", F.lit(0))).alias("file"), ended, F.posexplode("lines").alias("n", "line")).where(F.col("line").startswith("DA:"))
+    orphan = F.col("file").isNull() | (F.col("file") == "") | ((F.col("ended") > 0) & (F.col("n") >= F.col("ended")))
+    path = F.when(orphan, F.raise_error(F.concat(F.lit("outside of a record: "), "line")).cast("string")).otherwise(F.col("file"))
+    values = F.split(F.substring("line", 4, 1 << 20), ",")
+    whole = lambda i: F.when(F.trim(F.get(values, F.lit(i))).rlike("^[0-9]+$"), F.trim(F.get(values, F.lit(i))))
+    rows = each.select(path.alias("file_path"), whole(0).alias("line"), whole(1).alias("hits"))
+    most = F.lit((1 << 63) - 1)  # a count of more digits is a hit as any other
+    hits = F.when(F.col("hits").isNotNull(), F.coalesce(F.expr("try_cast(hits AS bigint)"), most))
+    return rows.select("file_path", F.expr("try_cast(line AS int)").alias("line"), hits.alias("hit_count")).where("line IS NOT NULL AND hit_count IS NOT NULL")
+
+
+def line_counts(text: str, functions) -> list[tuple[int, int]]:
+    """(line, count) of the lines that some range reaches into; later functions overwrite, and in one smaller ranges do."""
+    ends = np.flatnonzero(np.frombuffer(text.encode("utf-16-le"), dtype=np.uint16) == 10)  # offsets count UTF-16 units
+    starts = np.concatenate(([0], ends + 1))
+    stops = np.append(ends, len(text.encode("utf-16-le")) // 2)
+    count = np.zeros(len(starts), dtype=np.int64)
+    seen = np.zeros(len(starts), dtype=bool)
+    for f in functions:
+        for r in sorted(f["ranges"], key=lambda r: r["startOffset"] - r["endOffset"]):
+            first = int(np.searchsorted(stops, r["startOffset"], side="right"))  # the first line that ends behind the start
+            if (at := int(np.searchsorted(starts, r["startOffset"]))) < len(starts) and starts[at] == r["startOffset"]:
+                first = min(first, at)  # an empty line counts where the range begins on it
+            last = max(int(np.searchsorted(starts, r["endOffset"], side="left")), first + (first < len(starts) and starts[first] == r["startOffset"]))
+            count[first:last], seen[first:last] = r["count"], True
+    return [(int(n) + 1, int(count[n])) for n in np.flatnonzero(seen)]
 
 
 def from_v8(texts: DataFrame, read_source) -> DataFrame:
@@ -61,7 +82,7 @@ def from_v8(texts: DataFrame, read_source) -> DataFrame:
     across processes the greatest count of a line stands.
     """
     shape = "struct<result:array<struct<url:string,functions:array<struct<functionName:string,ranges:array<struct<startOffset:int,endOffset:int,count:bigint>>>>>>>"
-    scripts = texts.select(F.monotonically_increasing_id().alias("dump"), F.explode(F.from_json("value", shape)["result"]).alias("r")).where(F.col("r.url").startswith("file://"))
+    scripts = texts.select(F.explode(F.from_json("value", shape)["result"]).alias("r")).where(F.col("r.url").startswith("file://"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -71,16 +92,8 @@ def from_v8(texts: DataFrame, read_source) -> DataFrame:
                 text = read_source(path)
                 if text is None:
                     continue
-                starts = [0]
-                for line in text.split("\n"):
-                    starts.append(starts[-1] + len(line) + 1)
-                count: dict[int, int] = {}
-                for f in functions:
-                    for r in sorted(f["ranges"], key=lambda r: r["startOffset"] - r["endOffset"]):
-                        for n in range(len(starts) - 1):
-                            if starts[n] < r["endOffset"] and starts[n + 1] - 1 > r["startOffset"] or starts[n] == r["startOffset"]:
-                                count[n + 1] = r["count"]
-                rows += [(path, n, c) for n, c in sorted(count.items())]
+                path_rows = line_counts(text, functions)
+                rows += [(path, n, c) for n, c in path_rows]
             yield pd.DataFrame(rows, columns=["file_path", "line", "hit_count"])
 
     flat = scripts.select(F.col("r.url").alias("url"), F.col("r.functions").alias("functions"))
