@@ -12,31 +12,47 @@ from loomgraph.session import cut
 UNBOUNDED, DEFAULT_DEPTH, DEFAULT_LIMIT = 1_000_000, 3, 500
 
 
+#: Up to so many bytes of node names a frontier is sent to the edges; beyond that both are shuffled.
+SENT_BYTES = 16 << 20
+
+
 def walk(edges: DataFrame, seeds: DataFrame, depth: int = DEFAULT_DEPTH, limit: int | None = None) -> DataFrame:
     """(node, depth): the nodes within depth steps of the seeds, each at its least depth; seeds aren't among them.
 
     edges: (src, dst). seeds: (node). Breadth first: each level joins the frontier with the edges and
     drops what was seen. The distance is that of the shortest path, so cycles need no further guard.
-    A level is written to the shared folder before the next begins. With a limit, no level is begun
+    A level is written to the shared folder before the next begins, and its size decides how it meets
+    the edges: while it is small the edges are scanned where they are. With a limit, no level is begun
     once that many nodes are found.
     """
-    edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
     seen = frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    near, all_ = _bytes(frontier), 0
     total, level = 0, 0
     while level < (depth or UNBOUNDED):
         level += 1
-        step = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(level)))
-        found = frontier.count()
-        if not found:
+        all_ += near[1]
+        front = frontier.select(F.col("node").alias("src"))
+        step = edges.join(F.broadcast(front) if near[1] <= SENT_BYTES else front, "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        known = seen.select("node")
+        fresh = step.join(F.broadcast(known) if all_ <= SENT_BYTES else known, "node", "left_anti")
+        frontier = cut(fresh.withColumn("depth", F.lit(level)))
+        near = _bytes(frontier)
+        if not near[0]:
             break
-        total += found
+        total += near[0]
         seen = seen.unionByName(frontier)
         if limit is not None and total > limit:
             break
     return seen.where("depth > 0")
 
 
+def _bytes(nodes: DataFrame) -> tuple[int, int]:
+    """Nodes, and the bytes that they take."""
+    count, size = nodes.agg(F.count("*"), F.sum(F.octet_length(F.col("node").cast("string")) + 16)).first()
+    return count, size or 0
+
+
 def backends(kind: str, via: str = "all") -> tuple[list[str], list[dict]]:
     """The graphs for a target of a kind (file or symbol), and those asked for that don't fit it."""
     fitting = ["dependencies", "imports"] if kind == "file" else ["calls"]
@@ -71,8 +87,8 @@ def resolve_target(tables, target: str) -> dict:
     """A file if the name has a slash or is an indexed path; else a symbol with the files that declare it."""
     if "/" in target or "\\" in target or not tables.files.where(F.col("path") == target).isEmpty():
         return {"kind": "file", "name": target, "files": [target]}
-    files = tables.symbols.where(F.col("name") == target).select("file_path").distinct().orderBy("file_path").limit(DEFAULT_LIMIT)
-    return {"kind": "symbol", "name": target, "files": [r[0] for r in files.collect()]}
+    files = tables.symbols.where(F.col("name") == target).select("file_path").distinct().orderBy("file_path")
+    return {"kind": "symbol", "name": target, "files": [r[0] for r in files.toLocalIterator()]}
 
 
 def matches(tables, target: dict, direction: str = "both", via: str = "all", depth: int = DEFAULT_DEPTH, limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -104,7 +120,9 @@ def find_impact(tables, target: str, direction: str = "both", via: str = "all",
     chosen, skipped = backends(goal["kind"], via)
     found = cut(matches(tables, goal, direction, via, depth, limit))
     nodes, deepest = found.agg(F.count("*"), F.max("depth")).first()
-    kept = found.orderBy("depth", "direction", "edge", F.col("file_path"), F.col("name").asc_nulls_first()).limit(limit)
+    kept = found.orderBy("depth", "direction", "edge", F.col("file_path"), F.col("name").asc_nulls_first())
+    if nodes > limit:  # else a sort, as the top of a great limit takes memory for all of it
+        kept = kept.limit(limit)
     kinds = {r["kind"]: r["count"] for r in kept.groupBy("kind").count().collect()}
     if nodes > limit:
         ended = "limit"
