@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.globs import glob_to_regex, literal_prefix
 from loomgraph.functions.words import stem
+from loomgraph.plans.recipe_sql import SQL
 
 C = F.col
+#: Boundary rules that one plan holds as expressions.
+RULES = 100
 
 
 @dataclass(frozen=True)
@@ -30,6 +34,8 @@ class Recipe:
     params: tuple[Param, ...] = ()
     actions: tuple[dict, ...] = ()
     sql: str | None = None
+    #: The same as SQL, for a reader; a project's recipe is made of its sql alone.
+    shown: str | None = None
 
 
 RECIPES: dict[str, Recipe] = {}
@@ -37,7 +43,7 @@ RECIPES: dict[str, Recipe] = {}
 
 def recipe(id: str, *params: Param, actions: tuple[dict, ...] = ()):
     def add(f):
-        RECIPES[id] = Recipe(id, (f.__doc__ or "").strip().split("\n")[0], f, params, actions)
+        RECIPES[id] = Recipe(id, (f.__doc__ or "").strip().split("\n")[0], f, params, actions, shown=SQL[id].strip())
         return f
 
     return add
@@ -262,17 +268,22 @@ def boundary_violations(t) -> DataFrame:
     """Dependencies that a rule of the project denies.
 
     Rules are configuration, a handful of rows: they become expressions of the scan, so that no join
-    and no shuffle remain.
+    and no shuffle remain. Many rules are tried RULES at a time, one scan for each block.
     """
-    rules = t.boundary_rules.where("action = 'deny'").orderBy("name").collect()
+    rules = list(t.boundary_rules.where("action = 'deny'").orderBy("name").toLocalIterator())
     empty = t.dependencies.sparkSession.createDataFrame([], "file_path string, to_path string, rule_name string, rule_from_glob string, rule_to_glob string")
     if not rules:
         return empty
+    blocks = [_broken(t.dependencies, rules[i : i + RULES]) for i in range(0, len(rules), RULES)]
+    return reduce(DataFrame.unionByName, blocks).orderBy("rule_name", "file_path", "to_path")
+
+
+def _broken(dependencies: DataFrame, rules: list) -> DataFrame:
+    """Dependencies that break one of the rules, of which no two have one name."""
     sources, targets = _glob("from_path", [(r["name"], r["from_glob"]) for r in rules]), _glob("to_path", [(r["name"], r["to_glob"]) for r in rules])
-    broken = t.dependencies.withColumn("rule_name", F.explode(F.array_intersect(sources, targets)))
+    broken = dependencies.withColumn("rule_name", F.explode(F.array_intersect(sources, targets)))
     known = F.create_map(*[x for r in rules for x in (F.lit(r["name"]), F.struct(F.lit(r["from_glob"]).alias("f"), F.lit(r["to_glob"]).alias("t")))])
-    shown = broken.withColumn("__r", known[C("rule_name")]).select(C("from_path").alias("file_path"), "to_path", "rule_name", C("__r.f").alias("rule_from_glob"), C("__r.t").alias("rule_to_glob"))
-    return shown.orderBy("rule_name", "file_path", "to_path")
+    return broken.withColumn("__r", known[C("rule_name")]).select(C("from_path").alias("file_path"), "to_path", "rule_name", C("__r.f").alias("rule_from_glob"), C("__r.t").alias("rule_to_glob"))
 
 
 @recipe("rename-preview", Param("old"), Param("new"), Param("kind", required=False), Param("in_file", required=False), Param("include_tests", "boolean", False, True), Param("include_re_exports", "boolean", False, True))

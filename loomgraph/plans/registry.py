@@ -80,7 +80,7 @@ class Registry:
             seen = (recency or {}).get(i, {})
             out.append({
                 "id": i, "description": r.description, "source": "project" if i in self.project else "bundled", "shadows": i in self.project and i in RECIPES,
-                "params": [{"name": p.name, "type": p.kind, "required": p.required, "default": p.default} for p in r.params], "actions": list(r.actions), "sql": r.sql,
+                "params": [{"name": p.name, "type": p.kind, "required": p.required, "default": p.default} for p in r.params], "actions": list(r.actions), "sql": r.sql or r.shown,
                 "last_run_at": seen.get("last_run_at"), "run_count": seen.get("run_count", 0),
             })
         return out

@@ -72,3 +72,14 @@ class Tables(Mapping[str, DataFrame]):
         """Temporary views, so that SQL can name the tables."""
         for name in self:
             self[name].createOrReplaceTempView(prefix + name)
+        register_functions(self.spark)
+
+
+def register_functions(spark: SparkSession) -> None:
+    """first_dir(path) and glob_to_regex(glob) for SQL. Globs are those of rules, so that one runs in Python."""
+    from loomgraph.functions.globs import glob_to_regex
+    from loomgraph.session import ship
+
+    ship(spark)
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION first_dir(path STRING) RETURNS STRING RETURN substring_index(path, '/', 1)")
+    spark.udf.register("glob_to_regex", lambda glob: None if glob is None else glob_to_regex(glob), "string")
