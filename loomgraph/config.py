@@ -12,7 +12,8 @@ LANGUAGES = {
 }
 CODE = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
 INCLUDE = tuple(f"**/*{e}" for e in LANGUAGES if e != ".txt")
-EXCLUDE = ("node_modules", ".git", "dist", "build", ".next", ".output", "coverage", "storybook-static", ".turbo", ".cache", ".parcel-cache", "vendor")
+#: Folders of other programs' output and copies; a compatible default, in alphabetical order.
+EXCLUDE = (".cache", ".git", ".next", ".output", ".parcel-cache", ".turbo", "build", "coverage", "dist", "node_modules", "storybook-static", "vendor")
 
 
 class ConfigError(ValueError):

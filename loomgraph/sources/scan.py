@@ -14,13 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.config import CODE, LANGUAGES, Config
+from loomgraph.config import LANGUAGES, Config
 from loomgraph.functions.words import stem, tokens
 from loomgraph.schema import SCHEMAS
 from loomgraph.session import ship
-from loomgraph.sources import text_facts
-from loomgraph.sources.extract import css, tsjs
-from loomgraph.sources.extract.lexer import SyntaxProblem
+from loomgraph.sources.extract import adapters
 
 
 def pattern_of(glob: str) -> str:
@@ -57,25 +55,10 @@ def list_files(config: Config) -> list[str]:
 _FACTS = ("symbols", "imports", "exports", "components", "calls", "type_members", "markers", "suppressions", "css_variables", "css_classes", "css_keyframes")
 
 
-def facts_of(path: str, text: str, extra_text: bool = False) -> tuple[dict[str, list[dict]], str | None]:
+def facts_of(path: str, text: str, extra_text: bool = False, by_ending: dict | None = None) -> tuple[dict[str, list[dict]], str | None]:
     """Rows of each table for one file, and what kept it from being read, if anything."""
-    ext = os.path.splitext(path)[1].lower()
-    out: dict[str, list[dict]] = {k: [] for k in _FACTS}
-    problem = None
-    out["suppressions"] = text_facts.find_suppressions(text)
-    if ext in CODE:
-        try:
-            out |= tsjs.extract(text, ext)
-            out["markers"] = text_facts.find_markers(text)
-        except SyntaxProblem as e:
-            problem = str(e)
-            out["suppressions"] = []
-    else:
-        out["markers"] = text_facts.find_markers(text)
-        if ext == ".css":
-            own = css.extract(text, path)
-            out["imports"] = [{"source": s, "resolved_path": None, "specifiers": "[]", "is_type_only": 0, "line_number": 0} for s in own.pop("sources")]
-            out |= own
+    found, problem = adapters.extract(path, text, adapters.chosen() if by_ending is None else by_ending)
+    out: dict[str, list[dict]] = {k: [] for k in _FACTS} | {k: v for k, v in found.items() if k in _FACTS}
     if extra_text:
         out["source_fts"] = [{"token": stem(w), "pos": i} for i, w in enumerate(tokens(text))]
     return out, problem
@@ -92,14 +75,28 @@ def parsed_schema(text_search: bool) -> T.StructType:
     return s
 
 
+class _Rows:
+    """Makes the row of a file; goes to the executors."""
+
+    def __init__(self, schema: T.StructType, text_search: bool, now: int):
+        self.names, self.text_search, self.now, self.by_ending = schema.names, text_search, now, adapters.chosen()
+        self.fields = {f.name: f.dataType.elementType.names for f in schema.fields if isinstance(f.dataType, T.ArrayType)}
+
+    def row(self, path: str, text: str, size: int, modified: int, began: float) -> dict:
+        facts, problem = facts_of(path, text, self.text_search, self.by_ending)
+        row = {
+            "path": path, "content_hash": hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), "size": size, "line_count": text.count("\n") + 1,
+            "language": LANGUAGES.get(os.path.splitext(path)[1].lower(), "text"), "last_modified": modified, "indexed_at": self.now,
+            "problem": problem, "parse_ms": (time.perf_counter() - began) * 1000,
+        }
+        return row | {n: [{f: x.get(f) for f in fields} for x in facts.get(n, [])] for n, fields in self.fields.items()}
+
+
 def parse(spark: SparkSession, config: Config, paths: Iterable[str], now: int | None = None) -> DataFrame:
     """One row for each readable file, with arrays of facts. Files are read where they are parsed."""
     ship(spark)
-    root, text_search = config.root, config.text_search
-    now = int(time.time() * 1000) if now is None else now
-    schema = parsed_schema(text_search)
-    tables = [n for n in schema.names if isinstance(schema[n].dataType, T.ArrayType)]
-    fields = {n: schema[n].dataType.elementType.names for n in tables}
+    root, schema = config.root, parsed_schema(config.text_search)
+    make = _Rows(schema, config.text_search, int(time.time() * 1000) if now is None else now)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -111,23 +108,48 @@ def parse(spark: SparkSession, config: Config, paths: Iterable[str], now: int |
                     data, stat = file.read_bytes(), file.stat()
                 except OSError:
                     continue
-                text = data.decode("utf-8", "replace")
-                facts, problem = facts_of(path, text, text_search)
-                row = {
-                    "path": path, "content_hash": hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), "size": stat.st_size, "line_count": text.count("\n") + 1,
-                    "language": LANGUAGES.get(os.path.splitext(path)[1].lower(), "text"), "last_modified": int(stat.st_mtime * 1000), "indexed_at": now,
-                    "problem": problem, "parse_ms": (time.perf_counter() - began) * 1000,
-                }
-                for n in tables:
-                    row[n] = [{f: x.get(f) for f in fields[n]} for x in facts.get(n, [])]
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=schema.names)
+                rows.append(make.row(path, data.decode("utf-8", "replace"), stat.st_size, int(stat.st_mtime * 1000), began))
+            yield pd.DataFrame(rows, columns=make.names)
 
     listed = list(paths)
     frame = spark.createDataFrame([(p,) for p in listed], "path string")
     return frame.repartition(max(1, min(len(listed) // 8, 4 * spark.sparkContext.defaultParallelism)), "path").mapInPandas(run, schema)
 
 
+def tree(spark: SparkSession, config: Config) -> DataFrame:
+    """(path, content, modified) of the included files of a tree on any filesystem that executors reach; nothing is listed here."""
+    root = config.root.rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    bare = root.split("://", 1)[-1] if "://" in root else root.removeprefix("file:")
+    path = F.regexp_extract("path", "^[A-Za-z0-9+.-]*:/*(?=/)|^", 0)  # the scheme
+    inside = F.substring(F.expr("substring(path, length(__scheme) + 1)"), len(bare) + 2, 1 << 30) if "://" not in root else F.substring("path", len(root) + 2, 1 << 30)
+    files = found.withColumn("__scheme", path).select(inside.alias("path"), "content", F.unix_millis("modificationTime").alias("modified"))
+    wanted = F.lit(False)
+    for g in config.include:
+        wanted = wanted | F.col("path").rlike(pattern_of(g))
+    banned = F.arrays_overlap(F.slice(F.reverse(F.split("path", "/")), 2, 1 << 20), F.array(*[F.lit(x) for x in config.exclude_dir_names])) if config.exclude_dir_names else F.lit(False)
+    return files.where(wanted & ~banned)
+
+
+def parse_tree(spark: SparkSession, config: Config, now: int | None = None) -> DataFrame:
+    """As parse(), for all files of tree()."""
+    return parse_texts(tree(spark, config), config.text_search, now)
+
+
+def parse_texts(files: DataFrame, text_search: bool = False, now: int | None = None) -> DataFrame:
+    """As parse(), for files whose bytes are at hand: (path, content, modified)."""
+    ship(files.sparkSession)
+    schema = parsed_schema(text_search)
+    make = _Rows(schema, text_search, int(time.time() * 1000) if now is None else now)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [make.row(p, bytes(c).decode("utf-8", "replace"), len(c), int(m), time.perf_counter()) for p, c, m in zip(part["path"], part["content"], part["modified"])]
+            yield pd.DataFrame(rows, columns=make.names)
+
+    return files.select("path", "content", "modified").mapInPandas(run, schema)
+
+
 def explode_tables(parsed: DataFrame) -> dict[str, DataFrame]:
     """The typed tables of parsed files; ids come from the path and the place in the file, and survive rebuilds."""
     out = {"files": parsed.select(*SCHEMAS["files"].names)}
@@ -145,9 +167,10 @@ def explode_tables(parsed: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def hashes_on_disk(spark: SparkSession, config: Config, paths: Iterable[str]) -> DataFrame:
-    """(path, content_hash, value) of the files that can be read now."""
+def hashes_on_disk(spark: SparkSession, config: Config, paths: DataFrame, texts: bool = False) -> DataFrame:
+    """(path, content_hash) of the files that can be read now, with texts also value. paths: (path)."""
     root = config.root
+    names = ["path", "content_hash", *(["value"] if texts else [])]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -157,8 +180,8 @@ def hashes_on_disk(spark: SparkSession, config: Config, paths: Iterable[str]) ->
                     text = (Path(root) / path).read_bytes().decode("utf-8", "replace")
                 except OSError:
                     continue
-                rows.append((path, hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), text))
-            yield pd.DataFrame(rows, columns=["path", "content_hash", "value"])
+                rows.append((path, hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), text)[: len(names)])
+            yield pd.DataFrame(rows, columns=names)
 
     ship(spark)
-    return spark.createDataFrame([(p,) for p in paths], "path string").mapInPandas(run, "path string, content_hash string, value string")
+    return paths.select("path").mapInPandas(run, ", ".join(f"{n} string" for n in names))

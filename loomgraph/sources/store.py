@@ -15,7 +15,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.config import LANGUAGES, Config
+from loomgraph.config import Config
 from loomgraph.operators.lookup import COUNTED, table_stats
 from loomgraph.schema import BY_FILE, SCHEMA_VERSION, SCHEMAS, USER_TABLES, Tables
 from loomgraph.sources import git, resolve, scan
@@ -104,11 +104,7 @@ class Index:
             commit = meta.get("last_indexed_commit")
             now = git.head(self.config.root)
             if commit and now and git.is_ancestor(self.config.root, commit):
-                known = {r[0] for r in self.tables().files.select("path").collect()}
-                touched = {p for p in git.changed_files(self.config.root, commit) if os.path.splitext(p)[1].lower() in LANGUAGES or p in known}
-                touched |= set(listed) ^ known
-                there = set(listed)
-                targets, gone = sorted(touched & there), sorted(touched - there)
+                targets, gone = self._touched(listed, git.changed_files(self.config.root, commit))
             else:
                 fresh = True
         elif not fresh and mode == "files":
@@ -118,6 +114,8 @@ class Index:
         elif mode == "full" or fresh:
             fresh = True
         mode = "full" if fresh else mode
+        if not fresh and not self._boundaries_hold():
+            self.reconcile_boundaries()
         if not fresh and not targets and not gone:
             return IndexResult(mode, 0, 0, int((time.time() - began) * 1000), self.stats())
         parsed = scan.parse(self.spark, self.config, targets).cache()
@@ -127,7 +125,8 @@ class Index:
             kept = self.tables()
             changed = parsed.join(kept.files.select("path", "content_hash"), ["path", "content_hash"], "left_anti").cache()
             skipped = parsed.count() - changed.count()
-            unreadable = sorted(set(targets) - {r[0] for r in parsed.select("path").collect()})
+            wanted = self.spark.createDataFrame([(p,) for p in targets], "path string")
+            unreadable = [r[0] for r in wanted.join(parsed.select("path"), "path", "left_anti").collect()]
             gone = sorted(set(gone) | set(unreadable))
         indexed = changed.count()
         if not fresh and not indexed and not gone:
@@ -147,7 +146,7 @@ class Index:
                 key = BY_FILE[name]
                 rest = kept[name].join(dropped.withColumnRenamed("path", key), key, "left_anti")
                 new[name] = rest.unionByName(new[name])
-        new["boundary_rules"] = self.spark.createDataFrame([(b.name, b.from_glob, b.to_glob, b.action) for b in self.config.boundaries], SCHEMAS["boundary_rules"])
+        new["boundary_rules"] = self._boundaries()
         if fresh:
             user = {n: self._pointer()[n] for n in USER_TABLES if n in self._pointer()}
             self._move(self._pointer() | user)
@@ -166,8 +165,25 @@ class Index:
     def stats(self) -> dict:
         return table_stats(self.tables(), COUNTED).first().asDict()
 
+    def _touched(self, listed: list[str], changed: set[str]) -> tuple[list[str], list[str]]:
+        """Paths to read again and paths that are gone: those that changed, appeared or left since the last run."""
+        make = lambda paths: self.spark.createDataFrame([(p,) for p in paths], "path string")
+        known = self.tables().files.select("path", F.lit(True).alias("known"))
+        wide = make(listed).withColumn("there", F.lit(True)).join(known, "path", "full").join(make(changed).withColumn("changed", F.lit(True)), "path", "full")
+        read = F.coalesce("there", F.lit(False)) & (F.col("known").isNull() | F.col("changed"))
+        rows = wide.where(read | (F.col("known") & F.col("there").isNull())).select("path", "there").collect()  # the files of this one run
+        return sorted(r["path"] for r in rows if r["there"]), sorted(r["path"] for r in rows if not r["there"])
+
+    def _boundaries(self) -> DataFrame:
+        return self.spark.createDataFrame([(b.name, b.from_glob, b.to_glob, b.action) for b in self.config.boundaries], SCHEMAS["boundary_rules"])
+
+    def _boundaries_hold(self) -> bool:
+        stored = {tuple(r) for r in self.tables().boundary_rules.collect()}
+        return stored == {(b.name, b.from_glob, b.to_glob, b.action) for b in self.config.boundaries}
+
     def reconcile_boundaries(self) -> None:
-        self.write({"boundary_rules": self.spark.createDataFrame([(b.name, b.from_glob, b.to_glob, b.action) for b in self.config.boundaries], SCHEMAS["boundary_rules"])})
+        """Rules follow the configuration on every run, whether or not files changed."""
+        self.write({"boundary_rules": self._boundaries()})
 
     # Coverage
 
