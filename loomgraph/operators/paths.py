@@ -84,9 +84,24 @@ def with_bucket(df: DataFrame, bucket: Callable[[Column], Column], missing: str
 
 
 def group_rows(df: DataFrame, bucket: Callable[[Column], Column], missing: str = UNKNOWN, summary: bool = False) -> DataFrame:
-    """(key, count, rows), largest first; without rows for a summary, which then combines before the shuffle."""
+    """(key, count), largest first; without summary a line for each row, (key, count, row), the rows of a key together.
+
+    A key may have any share of the rows: counts combine before the shuffle, and rows are sorted by
+    their path within a key, so no key is gathered in one place.
+    """
     keyed = with_bucket(df, bucket, missing)
-    wanted = [F.count("*").alias("count")]
-    if not summary:
-        wanted.append(F.collect_list(F.struct(*[F.col(c) for c in df.columns])).alias("rows"))
-    return keyed.groupBy("key").agg(*wanted).orderBy(F.desc("count"), "key")
+    counts = keyed.groupBy("key").agg(F.count("*").alias("count"))
+    if summary:
+        return counts.orderBy(F.desc("count"), "key")
+    rows = keyed.select("key", F.struct(*[F.col(c) for c in df.columns]).alias("row"), chosen_path(df).alias("__path"))
+    return rows.join(counts, "key").orderBy(F.desc("count"), "key", "__path").select("key", "count", "row")
+
+
+def gathered(lines: Iterable) -> list[dict]:
+    """[{key, count, rows}] of the lines of group_rows, as they come."""
+    out: list[dict] = []
+    for line in lines:
+        if not out or out[-1]["key"] != line["key"]:
+            out.append({"key": line["key"], "count": line["count"], "rows": []})
+        out[-1]["rows"].append(line["row"])
+    return out

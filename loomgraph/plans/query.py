@@ -67,7 +67,7 @@ def execute(tables: Tables, sql: str | None = None, recipe: Recipe | None = None
     except Exception as e:
         return {"error": str(e).split("\n\nJVM")[0]}
     if group is not None:
-        return {"group_by": group.name, "groups": rows}
+        return {"group_by": group.name, "groups": rows if summary else paths.gathered(rows)}
     return {"count": rows[0]["count"]} if summary else rows
 
 
