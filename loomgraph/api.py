@@ -6,6 +6,7 @@ import json
 import os
 import re
 import time
+from collections.abc import Callable
 from dataclasses import asdict
 from pathlib import Path
 
@@ -20,6 +21,18 @@ from loomgraph.plans.registry import Registry
 from loomgraph.schema import SCHEMAS, Tables
 from loomgraph.sources import git, scan
 from loomgraph.sources.store import Index, IndexResult
+from loomgraph.streaming.watch import Watcher
+
+
+#: What someone who works through tools should know first.
+GUIDE = """Structural questions about this project are answered by its index.
+
+* Ask `context` first, with what you are about to do as `intent`; it names recipes that help.
+* `query_recipe` runs a recipe, `query` read-only SQL over the tables of the resource `schema`.
+* `show` finds a symbol, `snippet` its source; a snippet that is `stale` has changed since it was indexed.
+* `impact` tells who is reached from a symbol or file; `summary` leaves out the rows.
+* `save_baseline` before a change and `audit` after it show what was added and removed.
+"""
 
 
 class NotFound(KeyError):
@@ -35,12 +48,23 @@ class Project:
         self.config = config or Config.load(os.path.abspath(root), **overrides)
         self.store = Index(spark, self.config)
         self.registry = Registry(f"{self.config.root}/.loomgraph/recipes")
-        self.watching = False
+        self.watcher: Watcher | None = None
 
     @property
     def root(self) -> str:
         return self.config.root
 
+    @property
+    def watching(self) -> bool:
+        """Whether a watcher keeps the index current, so that nothing need be indexed before an answer."""
+        return self.watcher is not None and self.watcher.active
+
+    def watch(self, on_error: Callable[[Exception], None] = lambda e: None) -> Watcher:
+        """Start to keep the index current; stop() of the result ends it."""
+        self.watcher = Watcher(self.store, on_error)
+        self.watcher.start()
+        return self.watcher
+
     @property
     def tables(self) -> Tables:
         return self.store.tables()
@@ -199,15 +223,15 @@ class Project:
         files = sorted({m["file_path"] for m in out["matches"]})
         if files:
             matched = lookup.find_symbols(self.tables.symbols, name, kind, self.relative(within))
-            rows = lookup.snippets(matched, self.tables.files, scan.hashes_on_disk(self.spark, self.config, files)).orderBy("file_path", "line_start")
+            named = self.spark.createDataFrame([(p,) for p in files], "path string")
+            rows = lookup.snippets(matched, self.tables.files, scan.hashes_on_disk(self.spark, self.config, named, texts=True)).orderBy("file_path", "line_start")
             out["matches"] = query.rows_of(rows)
         return out
 
     def validate(self, targets: list[str] | None = None) -> list[dict]:
         named = sorted({self.relative(p) for p in targets or ()})
-        wanted = named or [r[0] for r in self.tables.files.select("path").collect()]
-        disk = scan.hashes_on_disk(self.spark, self.config, wanted)
         frame = self.spark.createDataFrame([(p,) for p in named], "path string") if named else None
+        disk = scan.hashes_on_disk(self.spark, self.config, self.tables.files if frame is None else frame)
         return query.rows_of(lookup.validate(self.tables.files, disk, frame))
 
     def impact(self, target: str, direction: str = "both", via: str = "all", depth: int = impact.DEFAULT_DEPTH, limit: int = impact.DEFAULT_LIMIT, summary: bool = False) -> dict:
@@ -242,6 +266,8 @@ class Project:
             from loomgraph.operators.coverage import per_file
 
             return {"file": own(t.files, "path"), "symbols": own(t.symbols), "imports": own(t.imports), "exports": own(t.exports), "coverage": own(per_file(t.coverage))}
+        if head == "guide" and not rest:
+            return GUIDE
         raise NotFound(f"no resource {uri!r}")
 
 

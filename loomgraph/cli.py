@@ -70,6 +70,8 @@ def parser() -> argparse.ArgumentParser:
     serve.add_argument("--host", default="127.0.0.1")
     serve.add_argument("--port", type=int, default=7878)
     serve.add_argument("--token")
+    serve.add_argument("--watch", action="store_true", help="keep the index current meanwhile")
+    verbs.add_parser("mcp", help="the tools for a model's client, over standard input and output").add_argument("--watch", action="store_true")
     verbs.add_parser("version")
     return top
 
@@ -79,7 +81,7 @@ def _query(project: Project, a: argparse.Namespace) -> tuple[object, int]:
         return project.registry.catalogue(project.store.recency()), 0
     if a.print_sql:
         r = project.recipe(a.print_sql)
-        return r.sql or r.description, 0
+        return r.sql or r.shown, 0
     if a.baselines:
         return project.store.baselines(), 0
     if a.drop_baseline:
@@ -136,15 +138,18 @@ def run(argv: list[str], spark: SparkSession | None = None) -> tuple[object, int
             return project.impact(a.target, a.direction, a.via, a.depth, a.limit, a.summary), 0
         if a.verb == "ingest-coverage":
             return project.ingest_coverage(a.path, a.format), 0
+        if a.verb in ("serve", "mcp") and a.watch:
+            project.watch(lambda e: print(e, file=sys.stderr))
+        if a.verb == "mcp":
+            from loomgraph.mcp import run as run_mcp
+
+            run_mcp(project, sys.stdin, sys.stdout)
         if a.verb == "serve":
             from loomgraph.serve import serve
 
             serve(project, a.host, a.port, a.token).serve_forever()
         if a.verb == "watch":
-            from loomgraph.streaming.watch import Watcher
-
-            watcher = Watcher(project.store, lambda e: print(e, file=sys.stderr))
-            watcher.start()
+            watcher = project.watch(lambda e: print(e, file=sys.stderr))
             try:
                 while True:
                     time.sleep(1)

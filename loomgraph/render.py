@@ -226,7 +226,7 @@ def comment(found: dict) -> str:
 
 
 def exit_code(fmt: str, rows: list[dict] | None = None, audit: dict | None = None) -> int:
-    """For CI: 1 if a SARIF or annotation run has rows, or an audit additions."""
+    """For CI: 1 if a SARIF run has rows, or an audit additions. Annotations only inform."""
     if audit is not None:
         return int(any(d.get("added") for d in audit.get("deltas", {}).values()))
-    return int(fmt in ("sarif", "annotations") and bool(rows))
+    return int(fmt == "sarif" and bool(rows))

@@ -105,7 +105,7 @@ def serve(project: Project, host: str = "127.0.0.1", port: int = 7878, token: st
             if path == "/tools":
                 return self._send(200, {"tools": [{"name": n, "arguments": list(v)} for n, v in TOOLS.items()]})
             if path == "/resources":
-                return self._send(200, {"resources": [f"{TOOL}://{x}" for x in ("recipes", "recipes/{id}", "schema", "files/{path}", "symbols/{name}")]})
+                return self._send(200, {"resources": [f"{TOOL}://{x}" for x in ("recipes", "recipes/{id}", "schema", "files/{path}", "symbols/{name}", "guide")]})
             if path.startswith("/resources/"):
                 try:
                     return self._send(200, project.resource(unquote(path[11:]).removeprefix(f"{TOOL}://")))
