@@ -169,9 +169,13 @@ def group_package(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OLD, _NEW = "SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'", "SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'"
 
 
-def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _two_sides(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     orders = read(spark, sf_dir, "orders")
-    return diff.diff_rows(*[orders.where(F.col("o_orderdate") < "1998-01-01" if old else F.col("o_orderdate") >= "1998-01-01").select("o_custkey", "o_orderstatus") for old in (True, False)])
+    return [orders.where(F.col("o_orderdate") < "1998-01-01" if old else F.col("o_orderdate") >= "1998-01-01").select("o_custkey", "o_orderstatus") for old in (True, False)]
+
+
+def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return diff.diff_rows(*_two_sides(spark, sf_dir))
 
 
 @query(f"{_NEW} EXCEPT ALL {_OLD}")
@@ -326,3 +330,6 @@ def resolve_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda r: F.concat(F.lit("c"), F.col("import_id") % 500 + r * 100))
     files = read(spark, sf_dir, "customer").where("c_nationkey % 2 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("path"))
     return first_existing(events.withColumn("candidates", names), files, "import_id")
+
+
+from loomgraph.plans import catalogue_more  # noqa: E402, F401  registers the rest
