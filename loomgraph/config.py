@@ -52,6 +52,12 @@ class Config:
     def index(self) -> str:
         return self.index_path or f"{self.root.rstrip('/')}/.loomgraph"
 
+    @property
+    def own_folder(self) -> str | None:
+        """The folder of the index below the root, if that's where it is."""
+        root = self.root.rstrip("/") + "/"
+        return self.index.rstrip("/").removeprefix(root) if self.index.startswith(root) else None
+
     @classmethod
     def load(cls, root: str, path: str | None = None, **overrides) -> Config:
         """From a JSON file (loomgraph.config.json in the root if there is one); unknown keys are errors."""

@@ -121,6 +121,13 @@ def serve(project: Project, host: str = "127.0.0.1", port: int = 7878, token: st
                 return self._send(404, {"error": "no such page"})
             size = int(self.headers.get("Content-Length") or 0)
             if size > MAX_BODY:
+                self.close_connection = True
+                for _ in range(min(size, 8 * MAX_BODY) // 65_536 + 1):  # read on, so that a client that is still sending gets the answer
+                    if not self.rfile.read(min(65_536, size)):
+                        break
+                    size -= 65_536
+                    if size <= 0:
+                        break
                 return self._send(413, {"error": "the body is too large"})
             try:
                 self._send(200, call(project, path[6:], json.loads(self.rfile.read(size) or b"{}")))

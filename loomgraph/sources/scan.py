@@ -42,12 +42,19 @@ def pattern_of(glob: str) -> str:
 
 
 def list_files(config: Config) -> list[str]:
-    """Paths below the root that the globs include, hidden ones too, less those in excluded folders; sorted."""
+    """Paths below the root that the globs include, hidden ones too, less those in excluded folders; sorted.
+
+    Of the index's own folder only the recipes count.
+    """
     wanted = re.compile("|".join(pattern_of(g) for g in config.include))
+    own = config.own_folder
     found, banned = [], set(config.exclude_dir_names)
     for folder, names, files in os.walk(config.root):
         names[:] = [n for n in names if n not in banned]
         at = os.path.relpath(folder, config.root).replace(os.sep, "/")
+        if at == own:
+            names[:] = [n for n in names if n == "recipes"]
+            continue
         found += [p for f in files if wanted.match(p := f if at == "." else f"{at}/{f}")]
     return sorted(found)
 
@@ -117,7 +124,10 @@ def parse(spark: SparkSession, config: Config, paths: Iterable[str], now: int |
 
 
 def tree(spark: SparkSession, config: Config) -> DataFrame:
-    """(path, content, modified) of the included files of a tree on any filesystem that executors reach; nothing is listed here."""
+    """(path, content, modified) of the included files of a tree on any filesystem that executors reach; nothing is listed here.
+
+    Spark's file sources pass over hidden files and folders, so those are left out.
+    """
     root = config.root.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     bare = root.split("://", 1)[-1] if "://" in root else root.removeprefix("file:")
@@ -128,7 +138,9 @@ def tree(spark: SparkSession, config: Config) -> DataFrame:
     for g in config.include:
         wanted = wanted | F.col("path").rlike(pattern_of(g))
     banned = F.arrays_overlap(F.slice(F.reverse(F.split("path", "/")), 2, 1 << 20), F.array(*[F.lit(x) for x in config.exclude_dir_names])) if config.exclude_dir_names else F.lit(False)
-    return files.where(wanted & ~banned)
+    own = config.own_folder
+    inner = F.col("path").startswith(f"{own}/") & ~F.col("path").startswith(f"{own}/recipes/") if own else F.lit(False)
+    return files.where(wanted & ~banned & ~inner)
 
 
 def parse_tree(spark: SparkSession, config: Config, now: int | None = None) -> DataFrame:
