@@ -48,11 +48,7 @@ STEPS = 1 << 30
 
 def tokens_of(text: Column) -> Column:
     """The number of runs without white space; 0 for null."""
-    flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\r\x0b\x0c", "     ")
-    runs = F.length(flat) - F.length(F.replace(F.concat(F.lit(" "), flat), F.lit(" "), F.lit(""))) + 1
-    plain = ~F.contains(flat, F.lit("  ")) & ~F.startswith(flat, F.lit(" ")) & ~F.endswith(flat, F.lit(" ")) & (flat != "")
-    slow = F.size(F.filter(F.split(flat, " +"), lambda x: x != ""))
-    return F.when(plain, runs).otherwise(slow).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\r\x0b\x0c]+")), F.lit(0)).cast("long")
 
 
 def targets(cells: DataFrame, weights: dict | None = None, total: float | None = None, flatten: float = FLATTEN) -> tuple[DataFrame, float]:
