@@ -300,3 +300,28 @@ def snippet_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = docs.select("path", F.sha2("text", 256).alias("content_hash"))
     now = docs.where("doc_id % 5 <> 0").select("path", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x"), "text")).otherwise(F.col("text")).alias("value"))
     return lookup.snippets(matches, files, now.withColumn("content_hash", F.sha2("value", 256))).select("name", "file_path", "source", "stale", "missing")
+
+
+@query("""
+SELECT 'n' || n_nationkey || '.md' AS path, sha256(t) AS content_hash, CAST(CASE WHEN n_nationkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS markers FROM (
+  SELECT *, '# ' || n_name || chr(10) || 'TODO one' || chr(10) || CASE WHEN n_nationkey % 5 = 0 THEN 'FIXME two' || chr(10) ELSE '' END AS t FROM nation WHERE n_nationkey % 7 <> 3)""")
+def index_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index after a full build, and a targeted one of files that changed and files that went."""
+    import os
+
+    root = _folder(spark)
+    key = F.col("n_nationkey")
+    text = F.concat(F.lit("# "), "n_name", F.lit("\nTODO one\n"))
+    nation = read(spark, sf_dir, "nation").withColumn("path", F.concat(F.lit("n"), key, F.lit(".md")))
+    write_files(nation.select("path", text), root)
+    index = Index(spark, Config(root))
+    index.build("full")
+    write_files(nation.where(key % 5 == 0).select("path", F.concat(text, F.lit("FIXME two\n"))), root)
+    gone = [r[0] for r in nation.where(key % 7 == 3).select("path").collect()]
+    for path in gone:
+        os.remove(f"{root}/{path}")
+    changed = [r[0] for r in nation.where(key % 5 == 0).select("path").collect()]
+    index.build("files", [*changed, *gone])
+    t = index.tables()
+    marks = t.markers.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("markers"))
+    return t.files.join(marks, "path").select("path", "content_hash", "markers")
