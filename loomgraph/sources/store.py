@@ -9,6 +9,7 @@ import shutil
 import time
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
@@ -60,19 +61,20 @@ class Index:
     # Writing
 
     def write(self, tables: dict[str, DataFrame]) -> None:
-        """Replace tables. Files with one path stay together, sorted, so that scans can skip row groups."""
+        """Replace tables, several at a time. Files with one path stay together, sorted, so that scans can skip row groups."""
         pointer, stamp = self._pointer(), f"{time.time_ns()}-{uuid.uuid4().hex[:6]}"
-        old = []
-        for name, df in tables.items():
-            folder = f"data/{name}/{stamp}"
+
+        def write(name: str) -> None:
             key = BY_FILE.get(name)
-            out = df.select(*[F.col(c).cast(SCHEMAS[name][c].dataType) for c in SCHEMAS[name].names])
+            out = tables[name].select(*[F.col(c).cast(SCHEMAS[name][c].dataType) for c in SCHEMAS[name].names])
             if key:
                 out = out.repartitionByRange(key).sortWithinPartitions(key)
-            out.write.parquet(str(self.path / folder))
-            if name in pointer:
-                old.append(pointer[name])
-            pointer[name] = folder
+            out.write.parquet(str(self.path / f"data/{name}/{stamp}"))
+
+        with ThreadPoolExecutor(max_workers=8) as pool:
+            list(pool.map(write, tables))
+        old = [pointer[name] for name in tables if name in pointer]
+        pointer |= {name: f"data/{name}/{stamp}" for name in tables}
         self._move(pointer)
         for folder in old:
             shutil.rmtree(self.path / folder, ignore_errors=True)
