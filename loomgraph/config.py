@@ -6,11 +6,12 @@ import json
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
-LANGUAGES = {
-    ".ts": "typescript", ".tsx": "tsx", ".mts": "typescript", ".cts": "typescript", ".js": "javascript", ".jsx": "jsx", ".mjs": "javascript", ".cjs": "javascript",
-    ".css": "css", ".md": "markdown", ".mdx": "mdx", ".mdc": "mdc", ".yml": "yaml", ".yaml": "yaml", ".txt": "text", ".json": "json", ".sh": "shell",
+_ENDINGS = {
+    "css": "css", "javascript": "cjs js mjs", "json": "json", "jsx": "jsx", "markdown": "md", "mdc": "mdc", "mdx": "mdx", "shell": "sh", "text": "txt", "tsx": "tsx",
+    "typescript": "cts mts ts", "yaml": "yaml yml",
 }
-CODE = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
+LANGUAGES = {f".{e}": language for language, endings in _ENDINGS.items() for e in endings.split()}
+CODE = tuple(e for e, language in LANGUAGES.items() if language in ("javascript", "jsx", "tsx", "typescript"))
 INCLUDE = tuple(f"**/*{e}" for e in LANGUAGES if e != ".txt")
 #: Folders of other programs' output and copies; a compatible default, in alphabetical order.
 EXCLUDE = (".cache", ".git", ".next", ".output", ".parcel-cache", ".turbo", "build", "coverage", "dist", "node_modules", "storybook-static", "vendor")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from loomgraph.functions.globs import OwnerRule
 
 #: In order of preference.
-PATH_COLUMNS = ("path", "file_path", "from_path", "to_path", "resolved_path")
+PATH_COLUMNS = tuple("path file_path from_path to_path resolved_path".split())
 UNKNOWN, NO_OWNER, ROOT = "<unknown>", "<no-owner>", "<root>"
 
 

@@ -64,8 +64,8 @@ _recipe("deprecated_symbols", "deprecated-symbols", """
 SELECT name, kind, file_path, line_start, signature, doc_comment FROM symbols
 WHERE contains(doc_comment, '@deprecated') ORDER BY 3, 4, 1, 2 LIMIT 50""")
 _recipe("visibility_tags", "visibility-tags", """
-SELECT name, kind, visibility, file_path, line_start, signature, doc_comment FROM symbols
-WHERE visibility = 'internal' ORDER BY 4, 5, 1, 2, 7 NULLS FIRST LIMIT 100""")
+SELECT file_path, line_start, name, kind, doc_comment, visibility, signature FROM symbols
+WHERE visibility = 'internal' ORDER BY 1, 2, 3, 4, 5 NULLS FIRST LIMIT 100""")
 _recipe("find_symbol_by_kind", "find-symbol-by-kind", """
 SELECT name, kind, file_path, line_start, signature FROM symbols WHERE kind LIKE 'function' AND starts_with(name, 'fn10') AND ends_with(name, '7')""", kind="function", name_pattern="fn10%7")
 _recipe("files_by_coverage", "files-by-coverage", """

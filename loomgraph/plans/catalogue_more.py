@@ -127,7 +127,7 @@ SELECT 'src/p' || p_partkey || '.ts' AS file_path, name, kind, CAST(line AS INTE
 def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols of code files, one for each part."""
     facts = scan.explode_tables(scan.parse_texts(_code(spark, sf_dir)))
-    return facts["symbols"].select("file_path", "name", "kind", "line_start", "line_end", "is_exported", "complexity")
+    return facts["symbols"].select("file_path", "line_start", "line_end", "name", "kind", "is_exported", "complexity")
 
 
 @query("SELECT 'src/p' || p_partkey || '.ts' AS file_path, 'fn' || p_partkey AS caller_name, 'fn' || (p_partkey + 1) AS callee_name FROM part")

@@ -318,4 +318,4 @@ def text_in_deprecated_functions(t, terms: tuple[str, ...] = ("TODO", "FIXME", "
     return shown.distinct().orderBy("file_path", "line_start", "symbol", "line_end", "coverage_pct").limit(50)
 
 
-ALIASES = {"dead-code": "untested-and-dead", "deprecated": "deprecated-symbols", "boundaries": "boundary-violations", "hotspots": "fan-in", "coverage-gaps": "worst-covered-exports"}
+ALIASES = {"boundaries": "boundary-violations", "coverage-gaps": "worst-covered-exports", "dead-code": "untested-and-dead", "deprecated": "deprecated-symbols", "hotspots": "fan-in"}

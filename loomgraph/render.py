@@ -10,7 +10,7 @@ TOOL, VERSION = "loomgraph", "0.1.0"
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 PLACES = ("file_path", "path", "to_path", "from_path")
 MAX_EDGES, MAX_COMMENT_ROWS = 50, 50
-FORMATS = ("json", "text", "sarif", "annotations", "mermaid", "diff", "diff-json")
+FORMATS = ("annotations", "diff", "diff-json", "json", "mermaid", "sarif", "text")
 
 
 class FormatError(ValueError):

@@ -59,7 +59,7 @@ def extract(source: str, path: str) -> dict[str, list[dict]]:
             start = i + 1
         elif c in ";}":
             part = text[start:i]
-            if m := re.match(r"\s*(--[\w-]+)\s*:(.*)$", part, re.S):
+            if m := re.match(r"\s*(?P<name>--[\w-]+)\s*:(.*)$", part, re.S):
                 theme = any(s.startswith("@theme") for s in stack)
                 variables.append({"name": m[1], "value": colour(m[2]) or None, "scope": "@theme" if theme else ":root", "line_number": line(start + m.start(1))})
             if c == "}" and stack:

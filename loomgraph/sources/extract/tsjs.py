@@ -15,7 +15,7 @@ from loomgraph.sources.extract.lexer import Lexer, SyntaxProblem, Token
 _OPEN = {"(": ")", "[": "]", "{": "}", "`(": "`)"}
 _CLOSERS = set(_OPEN.values())
 _COMPONENT, _HOOK = re.compile(r"[A-Z]"), re.compile(r"use[A-Z]")
-_VISIBILITY = re.compile(r"(?:^|\n)\s*@(public|private|internal|alpha|beta)(?![A-Za-z0-9_])")
+_VISIBILITY = re.compile(r"^\s*@(alpha|beta|internal|private|public)\b", re.M | re.A)
 _SIMPLE_TYPES = {"string", "number", "boolean", "void", "null", "undefined", "any", "never", "unknown", "object", "bigint", "symbol", "this"}
 _NOT_CALLED = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "super", "import", "await", "new", "with", "void", "delete", "throw", "case", "in", "of", "instanceof", "else", "do", "yield", "class", "extends"}
 _MODIFIERS = {"public", "private", "protected", "static", "readonly", "abstract", "override", "declare", "async", "get", "set", "accessor"}

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXTENSIONS = (".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mts", ".mjs", ".cts", ".cjs", ".json", ".css")
+EXTENSIONS = tuple(".ts .tsx .d.ts .js .jsx .mts .mjs .cts .cjs .json .css".split())
 #: A source that names a compiled file may stand for what it is compiled from.
 _COMPILED = {".js": (".ts", ".tsx", ".js", ".jsx"), ".jsx": (".tsx", ".jsx"), ".mjs": (".mts", ".mjs"), ".cjs": (".cts", ".cjs")}
 

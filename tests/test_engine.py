@@ -158,7 +158,7 @@ def test_sql_is_answered_or_refused(spark, project):
 
 def test_recipes_their_parameters_and_actions(project):
     assert {"deps", "from_path"} == set(project.query(recipe="fan-out")[0])
-    assert [r["name"] for r in project.query(recipe="find-symbol-by-kind", params={"kind": "function", "name_pattern": "step%"})] == ["stepA", "stepD", "stepB", "stepC"]
+    assert [r["name"] for r in project.query(recipe="find-symbol-by-kind", params=dict(name_pattern="step%", kind="function"))] == ["stepA", "stepD", "stepB", "stepC"]
     assert project.query(recipe="deprecated")[0]["actions"][0]["type"] == "review-deprecated"
     assert [r["n"] for r in project.query(recipe="by-language", params={"but": "typescript"})][0] == 2
     assert "needs but" in project.query(recipe="by-language")["error"]
@@ -176,7 +176,7 @@ def test_the_sql_of_each_recipe_gives_its_rows(spark, project):
     from loomgraph.plans.recipes import RECIPES
 
     t = model.tables(spark, "/root/testdata/sf0.001") if os.path.isdir("/root/testdata/sf0.001") else project.tables
-    given = {"find-symbol-by-kind": {"kind": "function", "name_pattern": "fn1%"}, "rename-preview": {"old": "fn10", "new": "fresh", "kind": None, "in_file": "src/d", "include_tests": True, "include_re_exports": True}}
+    given = {"find-symbol-by-kind": dict(name_pattern="fn1%", kind="function"), "rename-preview": {"old": "fn10", "new": "fresh", "kind": None, "in_file": "src/d", "include_tests": True, "include_re_exports": True}}
     assert set(SQL) == set(RECIPES)
     for name, sql in SQL.items():
         params = given.get(name, {})
@@ -286,7 +286,7 @@ def test_coverage_is_attributed_replaced_and_pruned(small, tmp_path):
     assert found == {"ingested": {"symbols": 2, "files": 2}, "skipped": {"unmatched_files": 1, "statements_no_symbol": 1}, "pruned_orphans": 0, "format": "lcov"}
     rows = {r["name"]: (r["coverage_pct"], r["hit_statements"], r["total_statements"]) for r in small.query("SELECT * FROM coverage")}
     assert rows == {"a": (50.0, 1, 2), "b": (100.0, 1, 1)}
-    statements = {"x": {"path": f"{small.root}/a.ts", "statementMap": {"0": {"start": {"line": 2}}, "1": {"start": {"line": 2}}}, "s": {"0": 0}}}
+    statements = {"x": {"s": {"0": 0}, "path": f"{small.root}/a.ts", "statementMap": dict.fromkeys("01", {"start": {"line": 2}})}}
     (tmp_path / "coverage-final.json").write_text(json.dumps(statements))
     assert small.ingest_coverage(str(tmp_path / "coverage-final.json"))["ingested"] == {"symbols": 1, "files": 1}
     assert {r["name"]: r["coverage_pct"] for r in small.query("SELECT * FROM coverage")} == {"a": 0.0, "b": 100.0}
@@ -448,7 +448,8 @@ def test_command_line(project, small, tmp_path, monkeypatch):
     assert run(project, "show", "stepA")[1] == 0 and run(project, "show", "zz")[1] == 1
     assert run(project, "impact", "stepA", "--direction", "down", "--depth", "1", "--summary")[0]["summary"]["nodes"] == 1
     assert run(project, "context", "--compact", "--for", "fix it")[0]["intent"]["classified_as"] == "debug"
-    assert cli.run(["dead-code"], project.spark)[1] in (0, 1)
+    monkeypatch.chdir(project.root)
+    assert cli.run(["dead-code"], project.spark) == (run(project, "query", "--recipe", "untested-and-dead")[0], 0)
     assert run(small, "query", "SELECT path FROM files", "--save-baseline", "all")[0]["row_count"] == 3
     assert run(small, "query", "--baselines")[0][0]["name"] == "all" and run(small, "query", "--baseline", "all")[0]["added"] == []
     assert run(small, "query", "--drop-baseline", "all")[1] == 0 and run(small, "query", "--drop-baseline", "all")[1] == 1
