@@ -5,6 +5,10 @@ the states in which a conversation may end) and what is written for a turn: a he
 tail, with a loss flag each. The turns of a conversation run through the machine in order; those it
 accepts give three segments for each turn, the others one row that says why.
 
+A conversation may be of any length. Its turns are split into chunks of 2^CHUNK turn numbers, each
+chunk becomes the function from the state before it to the state after, and the functions are
+applied in order; so only roles are gathered, of a chunk at a time, and a text moves once.
+
 Cases: turns are ordered by their number; rows repeated in full count once, while two different rows
 of one number, or a null number, reject the conversation, as does a null or unknown role. A null
 text counts as empty; empty and very long texts are written whole. Rows without a conversation
@@ -16,12 +20,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import named
 
 
+#: Turn numbers of a chunk, as a power of two.
+CHUNK = 10
+
+
 @dataclass(frozen=True)
 class Template:
     """moves: {state: {role: next state}}; head, tail: with {role} wherever the role's name goes."""
@@ -45,35 +53,49 @@ CHATML = Template(
 )
 
 
-def _walk(turns: Column, template: Template) -> Column:
-    """The state after the turns; null once a turn finds no move."""
+def _moves(template: Template) -> Column:
+    """The state that follows, by state and role."""
     pairs = [(f"{state}\x00{role}", to) for state, by in template.moves.items() for role, to in by.items()]
-    moves = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-    return F.aggregate(turns, F.lit(template.start), lambda state, t: moves[F.concat(state, F.lit("\x00"), t["role"])])
+    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+
+
+def _states(template: Template) -> list[str]:
+    return sorted({template.start, *template.ends, *template.moves, *(to for by in template.moves.values() for to in by.values())})
 
 
 def format_chats(df: DataFrame, template: Template = CHATML, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, segment, turn, role, text, loss, error): segments count from 0 in each conversation."""
-    row = F.struct(named(turn_col).cast("long").alias("turn"), named(role_col).alias("role"), F.coalesce(named(text_col), F.lit("")).alias("text"))
-    chats = df.where(named(conv_col).isNotNull()).groupBy(named(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_set(row)).alias("turns"))
-    numbers = F.transform("turns", lambda t: t["turn"])
-    state = _walk(F.col("turns"), template)
-    error = (
-        F.when(F.exists(numbers, lambda n: n.isNull()), "turn missing")
-        .when(F.size(F.array_distinct(numbers)) < F.size(numbers), "turn repeated")
-        .when(state.isNull(), "turn order")
-        .when(~state.isin(*template.ends), "unfinished")
+    rows = df.where(named(conv_col).isNotNull()).select(
+        named(conv_col).alias("conv_id"), named(turn_col).cast("long").alias("turn"), F.struct(named(role_col).alias("role"), F.coalesce(named(text_col), F.lit("")).alias("text")).alias("r")
     )
-    filled = lambda text, t: F.replace(F.lit(text), F.lit("{role}"), t["role"]) if "{role}" in text else F.lit(text)
-    learned = lambda t: t["role"].isin(*template.learned)
-
-    def segments(t: Column, i: Column) -> Column:
-        part = lambda k, text, loss: F.struct((i * 3 + k).cast("int").alias("segment"), t["turn"].alias("turn"), t["role"].alias("role"), text.alias("text"), loss.alias("loss"))
-        return F.array(part(0, filled(template.head, t), F.lit(False)), part(1, t["text"], learned(t)), part(2, filled(template.tail, t), learned(t) & F.lit(template.learn_tail)))
-
-    judged = chats.withColumn("error", error)
-    parts = F.when(F.col("error").isNull(), F.flatten(F.transform("turns", segments)))
-    return judged.select("conv_id", F.explode_outer(parts).alias("p"), "error").select("conv_id", "p.segment", "p.turn", "p.role", "p.text", "p.loss", "error")
+    turns = rows.groupBy("conv_id", "turn").agg(F.min("r").alias("r"), F.max("r").alias("z"))  # repeated rows combine before they move
+    fault = F.when(F.col("turn").isNull(), 2).when(~F.col("r").eqNullSafe(F.col("z")), 1).otherwise(0)
+    short = turns.select("conv_id", F.shiftright("turn", CHUNK).alias("chunk"), F.struct("turn", F.col("r.role").alias("role")).alias("t"), fault.alias("fault"))
+    moves, states = _moves(template), _states(template)
+    leads = [F.aggregate("turns", F.lit(s), lambda state, t: moves[F.concat(state, F.lit("\x00"), t["role"])]) for s in states]  # null once a turn finds no move
+    chunks = short.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list("t")).alias("turns"), F.max("fault").alias("fault"))
+    chunks = chunks.select("conv_id", "chunk", "turns", "fault", F.array(*leads).alias("leads"))
+
+    places = F.create_map(*[x for i, s in enumerate(states) for x in (F.lit(s), F.lit(i))])
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", "leads")))
+    state = F.aggregate("chunks", F.lit(template.start), lambda state, c: F.get(c["leads"], places[state]))
+    judged = chunks.groupBy("conv_id").agg(ordered.alias("chunks"), F.max("fault").alias("fault")).select("conv_id", "fault", state.alias("state"))
+    error = F.when(F.col("fault") == 2, "turn missing").when(F.col("fault") == 1, "turn repeated").when(F.col("state").isNull(), "turn order").when(~F.col("state").isin(*template.ends), "unfinished")
+    judged = judged.select("conv_id", error.alias("error"))
+
+    earlier = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counted = chunks.select("conv_id", "turns", F.coalesce(F.sum(F.size("turns")).over(earlier), F.lit(0)).alias("before"))
+    good = counted.join(judged.where("error IS NULL").select("conv_id"), "conv_id").select("conv_id", "before", F.posexplode("turns").alias("i", "t"))
+    order = good.select("conv_id", F.col("t.turn").alias("turn"), (F.col("before") + F.col("i")).alias("i"))
+
+    filled = lambda text: F.replace(F.lit(text), F.lit("{role}"), F.col("r.role")) if "{role}" in text else F.lit(text)
+    learned = F.col("r.role").isin(*template.learned)
+    part = lambda k, text, loss: F.struct((F.col("i") * 3 + k).cast("int").alias("segment"), text.alias("text"), loss.alias("loss"))
+    three = F.array(part(0, filled(template.head), F.lit(False)), part(1, F.col("r.text"), learned), part(2, filled(template.tail), learned & F.lit(template.learn_tail)))
+    written = turns.join(order, ["conv_id", "turn"]).select("conv_id", "turn", F.col("r.role").alias("role"), F.explode(three).alias("p"))
+    accepted = written.select("conv_id", "p.segment", "turn", "role", "p.text", "p.loss", F.lit(None).cast("string").alias("error"))
+    rejected = judged.where("error IS NOT NULL").select("conv_id", *[F.lit(None).cast(accepted.schema[c].dataType).alias(c) for c in ("segment", "turn", "role", "text", "loss")], "error")
+    return accepted.unionByName(rejected)
 
 
 ORACLE = """

@@ -60,6 +60,22 @@ def test_odd_chats_equal_a_plain_machine(spark):
     assert op6.format_chats(more.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1, 10])
+def test_long_conversations_are_judged_in_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(op6, "CHUNK", chunk)
+    role = lambda k: "user" if k % 2 == 0 else "assistant"
+    rows = [(1, k, role(k), f"t{k}") for k in range(-1024, 3000)] + [(2, k, role(k), "x") for k in range(2999)] + [(3, k, "user" if k == 1701 else role(k), "x") for k in range(3000)]
+    rows += [(4, 0, "user", "same")] * 500 + [(4, 7, "assistant", f"other {k}") for k in range(500)] + [(5, 0, "user", "same")] * 500 + [(5, 9000, "assistant", "end")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    found: dict = {}
+    for r in op6.format_chats(df).collect():
+        found.setdefault(r.conv_id, []).append(r)
+    assert {c: {r.error for r in x} for c, x in found.items()} == {1: {None}, 2: {"unfinished"}, 3: {"turn order"}, 4: {"turn repeated"}, 5: {None}}
+    one = sorted(found[1], key=lambda r: r.segment)
+    assert [r.segment for r in one] == list(range(3 * 4024)) and [r.text for r in one[1::3]] == [f"t{k}" for k in range(-1024, 3000)]
+    assert [(r.turn, r.text) for r in sorted(found[5], key=lambda r: r.segment)[1::3]] == [(0, "same"), (9000, "end")]
+
+
 def test_another_template(spark):
     plain = op6.Template({"s": {"q": "a"}, "a": {"r": "s"}}, "s", ("s",), "[", "]", ("r",), learn_tail=False)
     df = spark.createDataFrame([(1, 0, "q", "x"), (1, 1, "r", "y")], "conv_id int, turn int, role string, text string")
