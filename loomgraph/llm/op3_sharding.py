@@ -18,8 +18,9 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import digest_int
+from .common import digest_int, named
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 SLOTS = 65_537
@@ -60,14 +61,16 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 def place(df: DataFrame, key_col: str = "doc_id", shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """df with the columns slot and shard (the index of the shard)."""
     owners = F.split(F.lit(",".join(map(str, lookup_table(shards, slots)))), ",").cast("array<int>")  # folded to a constant
-    placed = df.withColumn("slot", slot_of(F.col(key_col), slots))
+    placed = df.withColumn("slot", slot_of(named(key_col), slots))
     return placed.withColumn("shard", F.element_at(owners, F.col("slot") + 1))
 
 
-def write_shards(df: DataFrame, path: str, key_col: str = "doc_id", shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> None:
-    """Write df with one folder for each shard, each by one task."""
+def write_shards(df: DataFrame, path: str, key_col: str = "doc_id", shards: tuple[str, ...] = SHARDS, slots: int = SLOTS, tasks: int = 16) -> None:
+    """Write df with one folder for each shard, each by several tasks; rows of one key are spread over them too."""
     placed = place(df, key_col, shards, slots).drop("slot")
-    placed.repartitionById(len(shards), F.col("shard")).write.partitionBy("shard").parquet(path)
+    rest = [named(f.name) for f in df.schema.fields if f.name != "shard" and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    part = F.pmod(F.xxhash64(*rest), F.lit(tasks)).cast("int")
+    placed.repartitionById(len(shards) * tasks, F.col("shard") * tasks + part).write.partitionBy("shard").parquet(path)
 
 
 def oracle(shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> str:
