@@ -105,8 +105,9 @@ def copies(df: DataFrame, weights: dict | None = None, total: float | None = Non
 def mix(df: DataFrame, weights: dict | None = None, total: float | None = None, flatten: float = FLATTEN, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Each row of df as often as its copies say."""
     rows = _rated(df, id_col, text_col, source_col, weights, total, flatten)
-    counted = rows.select("row", _count(F.col("row").getField(id_col), F.col("rate")).alias("n")).where("n > 0")
-    return counted.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "n"))).select("row.*")
+    counted = rows.select("row", _count(F.col("row").getField(id_col), F.col("rate")).alias("n"))
+    each = F.when(F.col("n") > 0, F.sequence(F.lit(1).cast("bigint"), "n"))  # no filter, for which all this would be computed once more
+    return counted.select("row", F.explode(each)).select("row.*")
 
 
 def _count(doc_id: Column, rate: Column) -> Column:
