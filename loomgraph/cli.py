@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 import time
 
@@ -113,7 +114,8 @@ def run(argv: list[str], spark: SparkSession | None = None) -> tuple[object, int
     from loomgraph.config import Config
 
     spark = spark or SparkSession.builder.appName(render.TOOL).config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    project = Project(spark, a.root, Config.load(a.root, a.config))
+    root = os.path.abspath(a.root)  # the JVM may be in another folder
+    project = Project(spark, root, Config.load(root, a.config))
     try:
         if a.verb in (None, "index"):
             return project.index("full" if a.verb and a.full else "incremental", a.files if a.verb else None, bool(a.verb and a.performance)), 0
