@@ -7,7 +7,8 @@ accepts give three segments for each turn, the others one row that says why.
 
 A conversation may be of any length. Its turns are split into chunks of 2^CHUNK turn numbers, each
 chunk becomes the function from the state before it to the state after, and the functions are
-applied in order; so only roles are gathered, of a chunk at a time, and a text moves once.
+applied in order; so only roles are gathered, of a chunk at a time, and a text moves once. Whether
+rows of one number differ is told by a 64-bit hash of their texts.
 
 Cases: turns are ordered by their number; rows repeated in full count once, while two different rows
 of one number, or a null number, reject the conversation, as does a null or unknown role. A null
@@ -68,9 +69,11 @@ def format_chats(df: DataFrame, template: Template = CHATML, conv_col: str = "co
     rows = df.where(named(conv_col).isNotNull()).select(
         named(conv_col).alias("conv_id"), named(turn_col).cast("long").alias("turn"), F.struct(named(role_col).alias("role"), F.coalesce(named(text_col), F.lit("")).alias("text")).alias("r")
     )
-    turns = rows.groupBy("conv_id", "turn").agg(F.min("r").alias("r"), F.max("r").alias("z"))  # repeated rows combine before they move
-    fault = F.when(F.col("turn").isNull(), 2).when(~F.col("r").eqNullSafe(F.col("z")), 1).otherwise(0)
-    short = turns.select("conv_id", F.shiftright("turn", CHUNK).alias("chunk"), F.struct("turn", F.col("r.role").alias("role")).alias("t"), fault.alias("fault"))
+    turns = rows.groupBy("conv_id", "turn").agg(F.min("r").alias("r"))  # repeated rows combine before they move
+    mark = F.struct(F.col("r.role").alias("role"), F.xxhash64("r.text").alias("text"))
+    marks = rows.select("conv_id", "turn", mark.alias("m")).groupBy("conv_id", "turn").agg(F.min("m").alias("m"), F.max("m").alias("z"))
+    fault = F.when(F.col("turn").isNull(), 2).when(~F.col("m").eqNullSafe(F.col("z")), 1).otherwise(0)
+    short = marks.select("conv_id", F.shiftright("turn", CHUNK).alias("chunk"), F.struct("turn", F.col("m.role").alias("role")).alias("t"), fault.alias("fault"))
     moves, states = _moves(template), _states(template)
     leads = [F.aggregate("turns", F.lit(s), lambda state, t: moves[F.concat(state, F.lit("\x00"), t["role"])]) for s in states]  # null once a turn finds no move
     chunks = short.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list("t")).alias("turns"), F.max("fault").alias("fault"))
