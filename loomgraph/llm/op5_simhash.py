@@ -1,11 +1,16 @@
-"""SimHash near-dedup over vantage-point trees.
+"""SimHash near-dedup over blocks of bits or vantage-point trees.
 
 Each document has four 64-bit fingerprints: two SimHashes of its words by frequency and two of its
 set of words. Two documents are near copies if, in one of the first two, at most RADIUS bits differ,
 and in the 128 bits of the set at most SET_RADIUS.
 
-Pairs are found exactly. The top of a vantage-point tree, built on the driver over a bounded sample,
-splits the space of fingerprints by Hamming distance into shards; each fingerprint lives in one
+Pairs are found exactly, by one of two searches. Up to BLOCK_RADIUS it goes by the sets, in which
+unlike texts differ most: fingerprints that near must agree in one of some pieces of their bits and
+all but agree round it, so each is sent to a shard for each piece, and compared within it with those
+that all but agree (see Piece). The rows sent are SET_RADIUS + 1 for each fingerprint, however many.
+
+With a greater set_radius pieces are too short to tell texts apart, and it goes by the first two
+fingerprints. The top of a vantage-point tree, built on the driver over a bounded sample, splits the space of fingerprints by Hamming distance into shards; each fingerprint lives in one
 shard and is sent as a query to each later shard that its ball of RADIUS overlaps, by the triangle
 bound |d(q, v) - r|. Which vantage points are drawn changes the balance of the shards and nothing
 else. The number of shards follows from the memory of a task, as rows sent grow with it (see Plan). A shard builds its own tree over what lives there, streams the queries past it and prunes
@@ -44,6 +49,8 @@ SAMPLE = 20_000
 #: Least number of shards; points that a shard's tree may hold (some 100 bytes each); rows that one task may ask it about.
 SHARDS, SHARD_POINTS, TASK_ROWS = 24, 2_000_000, 4_000_000
 LEAF = 128
+#: Greatest set_radius for the search by pieces; bits of a piece that name its shard, at most; rows of a task, about; points that are compared with their neighbours at a time, about.
+BLOCK_RADIUS, PIECE_BITS, PIECE_ROWS, BUCKET = 31, 6, 200_000, 48
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[ord("0") : ord("9") + 1] = _WORD[ord("A") : ord("Z") + 1] = _WORD[ord("a") : ord("z") + 1] = True
@@ -306,12 +313,154 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int, set_radius: int, sli
     if points or search:
         yield batch((search or begin()).edges())
 
+class Piece:
+    """A piece of the bits of one half of the set fingerprints, in a block of pieces side by side.
+
+    Fingerprints within set_radius differ by at most set_radius // 2 bits in the first half, or by
+    fewer than the other set_radius - set_radius // 2 in the second. A half that differs by at most n bits is cut into n + 1
+    pieces, and those into blocks: one block has fewer differing bits than pieces, and so a piece
+    without any. Whoever shares a piece meets in its shard; there only those are compared whose other
+    bits of the block differ by at most `errors`.
+    """
+
+    def __init__(self, half: int, most: int, block: tuple[int, int], low: int, high: int, errors: int, first: int):
+        self.half, self.most, self.errors, self.first = half, most, errors, first
+        self.block, self.low, self.bits = block, low, min(high - low, PIECE_BITS)
+        self.end = first + (1 << self.bits)
+        self.rest = block[1] - block[0] - self.bits
+
+    def shard(self, half: np.ndarray) -> np.ndarray:
+        return self.first + ((half >> np.uint64(self.low)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+    def others(self, half: np.ndarray, bits: int) -> np.ndarray:
+        """The lowest bits of the block without those of the shard."""
+        below = self.low - self.block[0]
+        under = (half >> np.uint64(self.block[0])) & np.uint64((1 << below) - 1)
+        above = (half >> np.uint64(self.low + self.bits - 1) >> np.uint64(1)) << np.uint64(below) if below < 64 else np.uint64(0)
+        return ((under | above) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def pieces(set_radius: int) -> list[Piece]:
+    found: list[Piece] = []
+    for half, most in enumerate((set_radius // 2, set_radius - 1 - set_radius // 2)):
+        n = most + 1
+        sizes = [3] * (n // 3) + [n % 3] * (n % 3 > 0)
+        if n > 3 and n % 3 == 1:
+            sizes[-2:] = [4]
+        at = 0
+        for size in sizes:
+            cuts = [64 * k // n for k in range(at, at + size + 1)]
+            for low, high in zip(cuts, cuts[1:]):
+                found.append(Piece(half, most, (cuts[0], cuts[-1]), low, high, size - 1, found[-1].end if found else 0))
+            at += size
+    return found
+
+
+class PieceSearch:
+    """The search within one shard of a piece: edges of a spanning forest."""
+
+    def __init__(self, piece: Piece, tops: np.ndarray, sets: np.ndarray, node: np.ndarray, radius: int, set_radius: int):
+        n = len(node)
+        bits = min(piece.rest, max(0, int(np.log2(max(1, n) / BUCKET))))
+        self.bits = bits if bits > piece.errors else 0
+        key = piece.others(sets[piece.half], self.bits)
+        order = np.argsort(key, kind="stable")
+        self.tops, self.sets, self.node = tops[:, order], sets[:, order], node[order]
+        self.radius, self.set_radius, self.compared = radius, set_radius, 0
+        self.label = np.arange(n)
+        self._found: list[tuple[np.ndarray, np.ndarray]] = []
+        self._size = 0
+        self._compare(piece, np.bincount(key, minlength=1 << self.bits))
+        self._join()
+
+    def _compare(self, piece: Piece, count: np.ndarray) -> None:
+        half, start = self.sets[piece.half], np.concatenate(([0], np.cumsum(count)))
+        signs = np.arange(1, 1 << self.bits)
+        signs = signs[np.bitwise_count(signs) <= piece.errors]
+        x, k, at = np.empty(1 << 16, np.uint64), np.empty(1 << 16, np.uint8), np.empty(1 << 16, bool)
+        for own in np.flatnonzero(count).tolist():
+            first, last = int(start[own]), int(start[own + 1])
+            by = own ^ signs
+            by = by[by > own]  # a pair of buckets meets once
+            by = by[count[by] > 0]
+            many = count[by]
+            other = np.arange(first, last + int(many.sum()))
+            other[last - first :] += np.repeat(start[by] - last - np.cumsum(many) + many, many)
+            theirs = half[other]
+            for p in range(0, len(other), 1 << 16):
+                part, places = theirs[p : p + (1 << 16)], other[p : p + (1 << 16)]
+                step = max(1, (1 << 16) // len(part))
+                for i in range(first, last, step):
+                    j = min(last, i + step)
+                    size = (j - i) * len(part)
+                    np.bitwise_xor(half[i:j, None], part[None, :], out=x[:size].reshape(j - i, -1))
+                    np.bitwise_count(x[:size], out=k[:size])
+                    np.less_equal(k[:size], piece.most, out=at[:size])
+                    self.compared += size
+                    a, b = np.divmod(np.flatnonzero(at[:size]), len(part))
+                    self._take(a + i, places[b])
+
+    def _take(self, a: np.ndarray, b: np.ndarray) -> None:
+        fresh = (a < b) & (self.label[a] != self.label[b])
+        a, b = a[fresh], b[fresh]
+        if not len(a):
+            return
+        near = np.bitwise_count(self.sets[:, a] ^ self.sets[:, b]).sum(axis=0, dtype=np.int64) <= self.set_radius
+        near &= (np.bitwise_count(self.tops[:, a] ^ self.tops[:, b]) <= self.radius).any(axis=0)
+        if near.any():
+            self._found.append((a[near], b[near]))
+            self._size += int(near.sum())
+            if self._size > 1 << 14:
+                self._join()
+
+    def _join(self) -> None:
+        if self._found:
+            self.label = _joined(self.label, *map(np.concatenate, zip(*self._found)))
+            self._found, self._size = [], 0
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        own = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return self.node[own], self.node[self.label[own]]
+
+
+def _by_pieces(points: DataFrame, total: int, radius: int, set_radius: int, shards: int) -> DataFrame:
+    own = pieces(set_radius)
+    tasks = max(shards, -(-total * len(own) // PIECE_ROWS))
+    of_shard = np.repeat(np.arange(len(own)), [p.end - p.first for p in own])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            halves = [b.column(k).to_numpy().view(np.uint64) for k in (3, 4)]
+            for p in own:
+                shard = p.shard(halves[p.half])
+                yield pa.RecordBatch.from_arrays([pa.array(shard % tasks, pa.int32()), pa.array(shard, pa.int32()), *b.columns], ["task", "shard", "node", "t0", "t1", "s0", "s1"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy() for c in b.columns[1:]] for b in batches if b.num_rows]
+        if not held:
+            return
+        shard, node, *prints = (np.concatenate(x) for x in zip(*held))
+        del held
+        order = np.argsort(shard, kind="stable")
+        borders = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1)).tolist()
+        for i, j in zip(borders, borders[1:]):
+            at = order[i:j]
+            t0, t1, s0, s1 = (x[at].view(np.uint64) for x in prints)
+            a, b = PieceSearch(own[of_shard[shard[at[0]]]], np.stack([t0, t1]), np.stack([s0, s1]), node[at], radius, set_radius).edges()
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    sent = points.select("node", "t0", "t1", "s0", "s1").mapInArrow(spread, "task int, shard int, node bigint, t0 bigint, t1 bigint, s0 bigint, s1 bigint")
+    return sent.repartitionById(tasks, F.col("task")).mapInArrow(search, "a bigint, b bigint")
+
 
 def near_edges(points: DataFrame, radius: int = RADIUS, set_radius: int = SET_RADIUS, shards: int = SHARDS) -> DataFrame:
     """(a, b): edges that join the near copies among points (node, t0, t1, s0, s1)."""
     total = points.count()
     if not total:
         return points.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    if set_radius <= BLOCK_RADIUS:
+        return _by_pieces(points, total, radius, set_radius, shards)
     sample = points.select("t0", "t1").sample(min(1.0, 1.5 * SAMPLE / total), 11).limit(SAMPLE).toPandas()
     if not len(sample):
         sample = points.select("t0", "t1").limit(SAMPLE).toPandas()

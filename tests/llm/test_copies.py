@@ -104,6 +104,69 @@ def test_rows_sent_for_a_point_are_bounded():
     assert len(op5.Plan(points, 10**9, op5.RADIUS).shards) <= 1000
 
 
+def test_pieces_lose_no_pair(monkeypatch):
+    """For each radius, crowded fingerprints at all distances round it, in many buckets: groups are those of all pairs."""
+    monkeypatch.setattr(op5, "BUCKET", 1)
+    rng = np.random.default_rng(31)
+    for most in (0, 1, 2, 3, 7, 12, 24, 31):
+        base = rng.integers(0, 2**64, (60, 4), dtype=np.uint64)
+        rows = [base]
+        for flips in (most // 2, most, most + 1):
+            copy = base.copy()
+            for k in range(len(copy)):
+                for bit in rng.choice(128, flips, replace=False).tolist():
+                    copy[k, 2 + bit // 64] ^= np.uint64(1 << bit % 64)
+            rows.append(copy)
+        f = np.unique(np.concatenate(rows), axis=0)
+        f[::5, :2] = ~f[::5, :2]  # of those the first two fingerprints are far
+        own = op5.pieces(most)
+        assert len(own) == most + 1
+        edges, met = [], 0
+        for p in own:
+            shard = p.shard(f[:, 2 + p.half])
+            for k in np.unique(shard):
+                at = np.flatnonzero(shard == k)
+                search = op5.PieceSearch(p, f[at, :2].T, f[at, 2:].T, at, 8, most)
+                edges += zip(*(x.tolist() for x in search.edges()))
+                met += search.compared
+        far = np.bitwise_count(f[:, None] ^ f[None, :]).astype(int)
+        a, b = np.nonzero((far[:, :, 2:].sum(axis=2) <= most) & (far[:, :, :2].min(axis=2) <= 8))
+        label = op5._joined(np.arange(len(f)), a, b)
+        one, other = (np.array([e[k] for e in edges], dtype=np.int64) for k in (0, 1))
+        assert (op5._joined(np.arange(len(f)), one, other) == label).all()
+        assert met and (most == 0 or len(np.unique(label)) < len(f))
+
+
+def test_share_of_pairs_compared_falls_as_the_points_grow():
+    """Texts of one language have like counts of words, all within RADIUS here; their sets keep them apart, and better the more there are."""
+    rng = np.random.default_rng(32)
+    share = {}
+    for n in (100_000, 800_000):
+        sets = rng.integers(0, 2**64, (2, n), dtype=np.uint64)
+        tops, compared = np.zeros_like(sets), 0
+        own = op5.pieces(op5.SET_RADIUS)
+        for p in own:
+            at = np.flatnonzero(p.shard(sets[p.half]) == p.first + 1)
+            compared += op5.PieceSearch(p, tops[:, at], sets[:, at], at, op5.RADIUS, op5.SET_RADIUS).compared * (p.end - p.first)
+        share[n] = compared / (n**2 / 2)
+    print("share of all pairs that are compared, by points:", share)
+    assert share[100_000] < 0.5 and share[800_000] < 0.5 * share[100_000]
+
+
+def test_either_search_finds_the_groups_of_all_pairs(spark, monkeypatch):
+    docs, _ = corpus(np.random.default_rng(33))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    found = lambda: {r.doc_id: r.duplicate_of for r in op5.near_copies(df, shards=3).collect()}
+    wanted = near_copies(docs)
+    monkeypatch.setattr(op5, "PIECE_ROWS", 500)
+    assert found() == wanted and wanted
+    monkeypatch.setattr(op5, "BLOCK_RADIUS", 23)
+    monkeypatch.setattr(op5, "pieces", None)  # not asked
+    monkeypatch.setattr(op5, "SHARD_POINTS", 40)
+    monkeypatch.setattr(op5, "TASK_ROWS", 30)
+    assert found() == wanted
+
+
 def test_ids_of_other_types(spark):
     docs, _ = corpus(np.random.default_rng(24))
     own = [(f"d{i:04d}", t) for i, t in docs[:60]]
