@@ -137,6 +137,17 @@ def test_pieces_lose_no_pair(monkeypatch):
         assert met and (most == 0 or len(np.unique(label)) < len(f))
 
 
+def test_rows_sent_by_pieces_follow_from_the_radius_alone():
+    """One row for each piece, to a shard of that piece, whatever the number of points."""
+    own = op5.pieces(op5.SET_RADIUS)
+    assert len(own) == op5.SET_RADIUS + 1 and own[0].first == 0 and all(p.end == q.first for p, q in zip(own, own[1:]))
+    for n in (10, 10_000):
+        halves = np.random.default_rng(34).integers(0, 2**64, n, dtype=np.uint64)
+        for p in own:
+            shard = p.shard(halves)
+            assert shard.shape == (n,) and shard.min() >= p.first and shard.max() < p.end
+
+
 def test_share_of_pairs_compared_falls_as_the_points_grow():
     """Texts of one language have like counts of words, all within RADIUS here; their sets keep them apart, and better the more there are."""
     rng = np.random.default_rng(32)
