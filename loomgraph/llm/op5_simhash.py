@@ -70,10 +70,20 @@ def _lowered(data: np.ndarray) -> np.ndarray:
 
 
 def _majority(features: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """SimHash of each run of features."""
-    bits = np.unpackbits(features.view(np.uint8).reshape(-1, 8), axis=1)
-    ones = np.add.reduceat(bits, start, axis=0, dtype=np.int32)
-    return np.packbits(ones * 2 > count[:, None], axis=1).view(np.uint64).ravel()
+    """SimHash of each run of features.
+
+    Bits are counted eight to a word, each in a byte of its own, over stretches that a byte can count.
+    """
+    stretches = -(-count // 255)
+    at = np.cumsum(stretches) - stretches
+    first = np.repeat(start - at * 255, stretches) + np.arange(stretches.sum()) * 255
+    ones, one = np.empty((len(first), 8, 8), np.uint8), np.empty_like(features)
+    for k in range(8):
+        np.right_shift(features, np.uint64(k), out=one)
+        np.bitwise_and(one, np.uint64(0x0101010101010101), out=one)
+        ones[:, :, 7 - k] = np.add.reduceat(one, first).view(np.uint8).reshape(-1, 8)
+    total = np.add.reduceat(ones.reshape(-1, 64), at, axis=0, dtype=np.int32)
+    return np.packbits(total * 2 > count[:, None], axis=1).view(np.uint64).ravel()
 
 
 def fingerprints(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -377,7 +387,9 @@ class PieceSearch:
         half, start = self.sets[piece.half], np.concatenate(([0], np.cumsum(count)))
         signs = np.arange(1, 1 << self.bits)
         signs = signs[np.bitwise_count(signs) <= piece.errors]
-        x, k, at = np.empty(1 << 16, np.uint64), np.empty(1 << 16, np.uint8), np.empty(1 << 16, bool)
+        x, k, at = np.empty(1 << 16, np.uint64), np.empty(1 << 16, np.uint8), np.zeros(1 << 16, bool)
+        eights, each = at.view(np.uint64), np.arange(8)
+        held, waiting = [], 0
         for own in np.flatnonzero(count).tolist():
             first, last = int(start[own]), int(start[own + 1])
             by = own ^ signs
@@ -396,9 +408,20 @@ class PieceSearch:
                     np.bitwise_xor(half[i:j, None], part[None, :], out=x[:size].reshape(j - i, -1))
                     np.bitwise_count(x[:size], out=k[:size])
                     np.less_equal(k[:size], piece.most, out=at[:size])
+                    at[size : -(-size // 8) * 8] = False
                     self.compared += size
-                    a, b = np.divmod(np.flatnonzero(at[:size]), len(part))
-                    self._take(a + i, places[b])
+                    some = np.flatnonzero(eights[: -(-size // 8)])
+                    if not len(some):
+                        continue
+                    near = (some[:, None] * 8 + each).ravel()
+                    a, b = np.divmod(near[at[near]], len(part))
+                    held.append((a + i, places[b]))
+                    waiting += len(a)
+                    if waiting > 1 << 14:
+                        self._take(*map(np.concatenate, zip(*held)))
+                        held, waiting = [], 0
+        if held:
+            self._take(*map(np.concatenate, zip(*held)))
 
     def _take(self, a: np.ndarray, b: np.ndarray) -> None:
         fresh = (a < b) & (self.label[a] != self.label[b])
