@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -83,7 +83,26 @@ def upsert(tables, rows: DataFrame, root: str, kind: str) -> Ingest:
     return out
 
 
+def mean_by_file(coverage: DataFrame, row: str = "_row") -> DataFrame:
+    """(file_path, avg, measured): the mean percentage of each file's symbols, unmeasured ones as 0.
+
+    A sum of doubles depends on the order of its terms, and where the mean lies between two decimals so
+    does what it is rounded to. So terms are added one by one in the order of the column row, or of
+    their size where there is none, however the rows are spread over tasks. The running mean of a window
+    holds no file's rows at once.
+    """
+    share = F.coalesce("coverage_pct", F.lit(0.0).cast("double"))
+    terms = coverage.select("file_path", share.alias("__share"), F.col(row if row in coverage.columns else "__share").alias("__row"))
+    so_far = Window.partitionBy("file_path").orderBy("__row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = terms.select("file_path", F.avg("__share").over(so_far).alias("avg"), F.count("*").over(so_far).alias("n"))
+    return running.groupBy("file_path").agg(F.max_by("avg", "n").alias("avg"), F.max("n").alias("measured"))
+
+
+def to_decimal(x: Column) -> Column:
+    """x to one decimal as SQL engines round doubles: ten times x is, not its shortest decimal form."""
+    return F.round(x * 10) / 10
+
+
 def per_file(coverage: DataFrame) -> DataFrame:
     """Average percentage of each file's symbols, unmeasured ones as 0, to one decimal."""
-    share = F.round(F.avg(F.coalesce("coverage_pct", F.lit(0.0).cast("double"))), 1)
-    return coverage.groupBy("file_path").agg(share.alias("avg_coverage_pct"), F.count("*").alias("measured_symbols"))
+    return mean_by_file(coverage).select("file_path", to_decimal(F.col("avg")).alias("avg_coverage_pct"), F.col("measured").alias("measured_symbols"))

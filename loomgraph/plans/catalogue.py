@@ -40,7 +40,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _recipe(name: str, id: str, sql: str, **params) -> None:
-    QUERIES[name] = lambda spark, sf_dir: RECIPES[id].build(model.tables(spark, sf_dir), **params)
+    QUERIES[name] = lambda spark, sf_dir: RECIPES[id].build(model.tables(spark, sf_dir, placed=("coverage",) if id == "refactor-risk-ranking" else ()), **params)
     ORACLES[name] = model.with_model(sql)
 
 
@@ -253,7 +253,7 @@ def innermost_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(model.with_model("SELECT file_path, round(avg(coalesce(coverage_pct, 0)), 1) AS avg_coverage_pct, count(*) AS measured_symbols FROM coverage AS c GROUP BY ALL"))
 def coverage_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average coverage of each file's symbols."""
-    return coverage.per_file(model.tables(spark, sf_dir).coverage)
+    return coverage.per_file(model.tables(spark, sf_dir, placed=("coverage",)).coverage)
 
 
 @query("""

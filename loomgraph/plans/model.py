@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.schema import Tables
 
@@ -60,11 +61,15 @@ MODEL = {
 }
 
 
-def tables(spark: SparkSession, sf_dir: str) -> Tables:
+def tables(spark: SparkSession, sf_dir: str, placed: tuple[str, ...] = ()) -> Tables:
+    """Those named in placed have a further column _row, the place of their source's row in its files."""
     given = {}
     for name, text in MODEL.items():
         sources = sorted(set(re.findall(r"FROM (lineitem|orders|customer|events)\b", text)))
         frames = {s: spark.read.parquet(f"{sf_dir}/{s}.parquet") for s in sources}
+        if name in placed:
+            frames = {s: f.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("_row")) for s, f in frames.items()}
+            text = text.replace("SELECT ", "SELECT _row, ", 1)
         given[name] = spark.sql(re.sub(r"FROM (lineitem|orders|customer|events)\b", r"FROM {\1}", text), **frames)
     return Tables(spark, given)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.globs import glob_to_regex, literal_prefix
 from loomgraph.functions.words import stem
+from loomgraph.operators.coverage import mean_by_file, to_decimal
 from loomgraph.plans.recipe_sql import SQL
 
 C = F.col
@@ -234,13 +235,13 @@ def unused_type_members(t) -> DataFrame:
 def refactor_risk_ranking(t) -> DataFrame:
     """Files with exports by fan-in and lack of coverage."""
     users = t.dependencies.groupBy(C("to_path").alias("path")).agg(F.count("*").alias("fan_in"))
-    tested = t.coverage.groupBy(C("file_path").alias("path")).agg(F.avg(_zero("coverage_pct")).alias("avg"), F.count("*").alias("measured"))
+    tested = mean_by_file(t.coverage).withColumnRenamed("file_path", "path")
     offered = t.symbols.where("is_exported = 1").groupBy(C("file_path").alias("path")).agg(F.count("*").alias("exported_count"))
     wide = t.files.select("path").join(offered, "path").join(users, "path", "left").join(tested, "path", "left")  # files without exports don't count
     none = lambda c: F.coalesce(C(c), F.lit(0))
     score = (none("fan_in") + 1) * (F.lit(100.0).cast("double") - _zero("avg"))
     shown = wide.select(
-        C("path").alias("file_path"), "exported_count", none("fan_in").alias("fan_in"), F.round(_zero("avg"), 1).alias("avg_coverage_pct"), none("measured").alias("measured_symbols"), F.round(score, 1).alias("risk_score")
+        C("path").alias("file_path"), "exported_count", none("fan_in").alias("fan_in"), to_decimal(_zero("avg")).alias("avg_coverage_pct"), none("measured").alias("measured_symbols"), to_decimal(score).alias("risk_score")
     )
     return shown.orderBy(F.desc("risk_score"), "file_path").limit(30)
 
