@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.config import Config
@@ -111,14 +111,13 @@ def css_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _facts(files: DataFrame, *tables: str) -> DataFrame:
-    parsed = scan.parse_texts(files)
-    each = [parsed.select(F.col("path").alias("file_path"), F.lit(t).alias("table"), F.explode(t).alias("r")) for t in tables]
-    out = None
-    for e in each:
-        line = "line_start" if "line_start" in e.schema["r"].dataType.names else "line_number"
-        part = e.select("file_path", "table", F.col("r.name").alias("name"), F.col(f"r.{line}").alias("line_number"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    parsed = scan.parse_texts(files, tables=tables)
+
+    def rows(table: str) -> Column:
+        line = "line_start" if "line_start" in parsed.schema[table].dataType.elementType.names else "line_number"
+        return F.transform(table, lambda r: F.struct(F.lit(table).alias("table"), r["name"].alias("name"), r[line].alias("line_number")))
+
+    return parsed.select(F.col("path").alias("file_path"), F.explode(F.concat(*map(rows, tables))).alias("r")).select("file_path", "r.table", "r.name", "r.line_number")
 
 
 @query("""
@@ -126,20 +125,20 @@ SELECT 'src/p' || p_partkey || '.ts' AS file_path, name, kind, CAST(line AS INTE
   SELECT p_partkey, unnest(['fn' || p_partkey, 'LIMIT' || p_size]) AS name, unnest(['function', 'const']) AS kind, unnest([3, 6]) AS line, unnest([5, 6]) AS stop, unnest([1, 0]) AS exported, unnest([2.0, NULL]) AS complexity FROM part)""")
 def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols of code files, one for each part."""
-    facts = scan.explode_tables(scan.parse_texts(_code(spark, sf_dir)))
+    facts = scan.explode_tables(scan.parse_texts(_code(spark, sf_dir), tables=("symbols",)))
     return facts["symbols"].select("file_path", "line_start", "line_end", "name", "kind", "is_exported", "complexity")
 
 
 @query("SELECT 'src/p' || p_partkey || '.ts' AS file_path, 'fn' || p_partkey AS caller_name, 'fn' || (p_partkey + 1) AS callee_name FROM part")
 def code_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls within those files."""
-    return scan.explode_tables(scan.parse_texts(_code(spark, sf_dir)))["calls"].select("file_path", "caller_name", "callee_name")
+    return scan.explode_tables(scan.parse_texts(_code(spark, sf_dir), tables=("calls",)))["calls"].select("file_path", "caller_name", "callee_name")
 
 
 @query("SELECT 'src/p' || p_partkey || '.ts' AS file_path, CAST(CASE p_partkey % 2 WHEN 0 THEN 0 ELSE 8 END AS INTEGER) AS line_number, 'rule-' || p_size AS recipe_id FROM part WHERE p_partkey % 3 <> 0")
 def suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directives that exempt a file (line 0) or the line after them."""
-    return scan.explode_tables(scan.parse_texts(_code(spark, sf_dir)))["suppressions"].select("file_path", "line_number", "recipe_id")
+    return scan.explode_tables(scan.parse_texts(_code(spark, sf_dir), tables=("suppressions",)))["suppressions"].select("file_path", "line_number", "recipe_id")
 
 
 def _code(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,10 +148,16 @@ def parse_tree(spark: SparkSession, config: Config, now: int | None = None) -> D
     return parse_texts(tree(spark, config), config.text_search, now)
 
 
-def parse_texts(files: DataFrame, text_search: bool = False, now: int | None = None) -> DataFrame:
-    """As parse(), for files whose bytes are at hand: (path, content, modified)."""
+def parse_texts(files: DataFrame, text_search: bool = False, now: int | None = None, tables: tuple[str, ...] | None = None) -> DataFrame:
+    """As parse(), for files whose bytes are at hand: (path, content, modified). tables: those wanted, if not all.
+
+    A source of small files in few pieces, as a table in one file, would be parsed by as few tasks, so files
+    are spread by path first; that costs little beside the parser.
+    """
     ship(files.sparkSession)
     schema = parsed_schema(text_search)
+    if tables is not None:
+        schema = T.StructType([f for f in schema.fields if not isinstance(f.dataType, T.ArrayType) or f.name in tables])
     make = _Rows(schema, text_search, int(time.time() * 1000) if now is None else now)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,7 +165,7 @@ def parse_texts(files: DataFrame, text_search: bool = False, now: int | None = N
             rows = [make.row(p, bytes(c).decode("utf-8", "replace"), len(c), int(m), time.perf_counter()) for p, c, m in zip(part["path"], part["content"], part["modified"])]
             yield pd.DataFrame(rows, columns=make.names)
 
-    return files.select("path", "content", "modified").mapInPandas(run, schema)
+    return files.select("path", "content", "modified").repartition("path").mapInPandas(run, schema)
 
 
 def explode_tables(parsed: DataFrame) -> dict[str, DataFrame]:
