@@ -195,9 +195,10 @@ class Index:
 
         rows, kind = coverage_files.read(self.spark, path, kind)
         done = coverage.upsert(self.tables(), rows, os.path.abspath(self.config.root), kind)
+        found = {"ingested": {"symbols": done.symbols, "files": done.files}, "skipped": {"unmatched_files": done.unmatched_files, "statements_no_symbol": done.statements_no_symbol}, "pruned_orphans": done.pruned_orphans, "format": kind}
         meta = self.meta() | {"coverage_last_ingested_at": int(time.time() * 1000), "coverage_last_ingested_path": path, "coverage_last_ingested_format": kind}
         self.write({"coverage": done.coverage, "meta": self._meta_rows(meta)})
-        return {"ingested": {"symbols": done.symbols, "files": done.files}, "skipped": {"unmatched_files": done.unmatched_files, "statements_no_symbol": done.statements_no_symbol}, "pruned_orphans": done.pruned_orphans, "format": kind}
+        return found
 
     # Baselines: a folder of rows and a manifest each
 
