@@ -47,6 +47,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def spread(df: DataFrame, column: str) -> DataFrame:
+    """df by a column over so many tasks that all cores have work; adaptive execution would join them again where bytes are few, however long they take."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), column)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there; loops stay cheap and survive lost executors."""
     shared_dir(df.sparkSession)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.session import spread
+
 
 class CoverageError(ValueError):
     pass
@@ -188,7 +190,7 @@ def from_v8(texts: DataFrame, read_source) -> DataFrame:
     read, painted many at a time, and leave Python as stretches of lines with one count.
     """
     shape = "struct<result:array<struct<url:string,functions:array<struct<functionName:string,ranges:array<struct<startOffset:int,endOffset:int,count:bigint>>>>>>>"
-    scripts = texts.repartition("value").select(F.explode(F.from_json("value", shape)["result"]).alias("r")).where(F.col("r.url").startswith("file://"))
+    scripts = spread(texts, "value").select(F.explode(F.from_json("value", shape)["result"]).alias("r")).where(F.col("r.url").startswith("file://"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from loomgraph.config import LANGUAGES, Config
 from loomgraph.functions.words import stem, tokens
 from loomgraph.schema import SCHEMAS
-from loomgraph.session import ship
+from loomgraph.session import ship, spread
 from loomgraph.sources.extract import adapters
 
 
@@ -165,7 +165,7 @@ def parse_texts(files: DataFrame, text_search: bool = False, now: int | None = N
             rows = [make.row(p, bytes(c).decode("utf-8", "replace"), len(c), int(m), time.perf_counter()) for p, c, m in zip(part["path"], part["content"], part["modified"])]
             yield pd.DataFrame(rows, columns=make.names)
 
-    return files.select("path", "content", "modified").repartition("path").mapInPandas(run, schema)
+    return spread(files.select("path", "content", "modified"), "path").mapInPandas(run, schema)
 
 
 def explode_tables(parsed: DataFrame) -> dict[str, DataFrame]:
